@@ -39,11 +39,29 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    return media.features(media.with_metadata(media.store(table(spark, sf_dir, "documents"))))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    probe = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    messages = chat.written(chat.from_turns(turns), "chat-messages")
+    return chat.read_back(chat.format_trees(messages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_media": op8_media,
+    "op9_chat_format": op9_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
