@@ -55,11 +55,18 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_trees(messages))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_report
+
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
     "op9_chat_format": op9_chat_format,
 }
