@@ -55,6 +55,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_trees(messages))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import replace_entities
+
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_report
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_surrogates": op6_surrogates,
     "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
     "op9_chat_format": op9_chat_format,
