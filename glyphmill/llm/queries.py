@@ -55,6 +55,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_trees(messages))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shingle_join import link_components
+
+    return link_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .surrogates import replace_entities
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op3_packing": op3_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_surrogates": op6_surrogates,
     "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,

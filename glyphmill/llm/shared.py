@@ -34,7 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def partitions_for(df: DataFrame, bytes_each: int, factor: float = 1.0) -> int:
     """Number of shuffle partitions so that ``factor`` times the optimizer's size estimate of ``df``
-    falls into pieces of ``bytes_each``, and never fewer than the session's setting."""
+    falls into pieces of ``bytes_each``, and never fewer than the session's setting (which holds alone where
+    the optimizer has no estimate, as for local rows)."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1_000_000, int(size * factor) // bytes_each + 1))
+    return least if size >= 1 << 60 else max(least, int(size * factor) // bytes_each + 1)
