@@ -73,6 +73,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_matrix
+
+    return token_matrix.read_pieces(token_matrix.write_matrices(table(spark, sf_dir, "documents"), vocabulary()), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_codec": op2_bpe_codec,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_media": op8_media,
     "op9_chat_format": op9_chat_format,
+    "op10_token_matrix": op10_token_matrix,
 }
 
 ORACLE_SQL: dict[str, str] = {

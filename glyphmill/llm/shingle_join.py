@@ -333,3 +333,17 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     read = likely.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "key", "short")
     made = read.where("text is not null").mapInArrow(run, "got binary, set binary, key binary, short long")
     return made.where("got = key").select("key", "short", "set").dropDuplicates(["key"])
+
+
+def drop_near_copies(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose id is their component's least (see ``link_components``), with all their columns.
+
+    Rows without shingles stay. Rows with a null id can't be told apart and stay; rows that share a kept id
+    all stay, so exact copies should be dropped before. Only rows that a bitmap of the dropped ids can't
+    clear are shuffled.
+    """
+    found = link_components(df, width=width, percent=percent, id_col=id_col, text_col=text_col)
+    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone__")).distinct(), "shingle-gone")
+    marked = maybe_in(df, F.col(id_col).cast("long"), gone, "maybe__")
+    open_rows = marked.where("maybe__").join(gone, F.col(id_col) == F.col("gone__"), "left_anti")
+    return marked.where("not maybe__").unionByName(open_rows).drop("maybe__")
