@@ -40,7 +40,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])|(?<=(?:password|passwd|secret|token)[ ]?[=:][ ]?[\"']?)[^\s\"'<]{6,}+",
+    "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])|(?<=(?:password|passwd|secret|token)[ ]?[=:][ ]?[\"']?)[^\s\"'<]{6,}+",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])",
     "card": r"(?<![0-9-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -48,6 +48,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[ ]\p{{Lu}}\p{{Ll}}+(?:[ ]\p{{Lu}}\p{{Ll}}+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every match of PATTERN holds a digit, an at sign or one of these; looking for them first is cheap.
+SIGNS = ["AKIA", "password", "passwd", "secret", "token", "Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Sr", "Dr", "Prof", "г-", "κ"]
 
 
 def kind_of(entity: Column) -> Column:
@@ -199,6 +201,13 @@ def surrogate(entity: Column, key: str = KEY, retry: Column | None = None) -> Co
     return bind(kind_of(entity), make)
 
 
+def holds_entity(text: Column) -> Column:
+    signs = text.rlike("[0-9@]")
+    for sign in SIGNS:
+        signs = signs | F.contains(text, F.lit(sign))
+    return F.coalesce(signs & text.rlike(PATTERN), F.lit(False))
+
+
 def found_in(text: Column) -> Column:
     """The entities of a text, in order and as written."""
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
@@ -233,7 +242,7 @@ def replace_entities(df: DataFrame, key: str = KEY, *, text_col: str = "text", c
     the texts of documents that hold entities if there are collisions.
     """
     text = F.col(f"`{text_col}`")
-    holds = F.coalesce(text.rlike(PATTERN), F.lit(False))
+    holds = holds_entity(text)
     entities = df.where(holds).select(F.explode(found_in(text)).alias("entity")).distinct()
     again = collisions(entities, key)
     count = F.coalesce(F.when(holds, F.size(found_in(text)).cast("long")), F.lit(0).cast("long"))

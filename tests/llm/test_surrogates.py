@@ -54,6 +54,10 @@ def test_collisions_are_resolved(spark):
     assert len({r.text for r in rows.values()}) == len(names) + 1 and all(rows[k].n == 1 for k in range(len(names))) and rows[99].text is None
 
 
+def test_signs_cover_titles():
+    assert all(any(sign in title for sign in S.SIGNS) for titles in S.TITLES.values() for title in titles)
+
+
 def test_native(spark):
     df = spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string")
     plan = S.replace_entities(df)._jdf.queryExecution().toString()
