@@ -3,15 +3,24 @@
 A text's set is that of its distinct word shingles, as 64-bit hashes. Two sets of sizes a and b whose
 Jaccard similarity is at least t % differ in at most (a + b)(100 - t) / (100 + t) elements. Sizes fall into
 bands such that linked sets lie in one band or in neighbouring ones, and each set signs for its own band and
-the next. A band that allows k differences divides the domain (the range of the hash) into ceil((k + 1) / 2)
-groups of three partitions. Some group holds at most one difference, so at least two of its partitions agree:
-a signature is the contents of two of a group's three partitions, and linked sets share one.
+the next. A band that allows k differences divides the domain (the range of the hash) into groups of
+partitions and signs, for each group, the contents of every subset of its partitions that is large enough
+for linked sets to share one:
+
+* k up to FEW: one group of k + 2 partitions. At least two of them agree: every pair of partitions signs.
+* more: groups of three partitions, at least k / 2 + 1 of them. A group with at most one difference agrees in
+  two of its partitions: every two of three sign. There are some more groups than needed, so linked sets
+  agree like this in several; a set with fewer groups than that in which two partitions are empty leaves its
+  empty signatures out, which nearly all sets of a band would share by chance.
 
 Sets, not documents, are joined: copies share a class. What a task signs is deduplicated and packed into
 one binary row for each of many ranges of signatures. The owner of a range sorts it. A bucket of up to SMALL
-classes gives all its pairs; a larger one gives pairs with its first class only, and after these are verified
-and components are known, its pairs between different components: so no link is lost, and a group of many near
-copies costs about its size. Every pair is verified on the whole sets.
+classes gives all its pairs; of a larger one each member is paired with the first. A bucket
+that verified links don't make one component yet is compared with its most central member (that of the most
+and largest buckets), twice; what is still apart goes through an exact filter in blocks: a class's parity
+sketch is linear, so the bits in which two sketches differ are at most the elements in which the sets do. So
+no link is lost, and a group of many near copies costs about its size in rows. Every pair is verified on the
+whole sets.
 """
 
 import struct
@@ -20,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import slices
@@ -28,7 +37,11 @@ from .components import connected
 from .shared import partitions_for, written
 
 SMALL = 4
-FLUSH_SIGNATURES = 1_500_000
+FEW = 6
+PIVOTS = 2
+BLOCK = 2048
+FLUSH_SIGNATURES = 1_000_000
+KNOWN_WORDS = 150_000
 OWNED_BYTES = 32 << 20
 BITS = 1 << 24
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -52,7 +65,7 @@ class Shingler:
     def hashes(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()  # bytes: A-Z alone are lowered, ASCII white space alone cuts
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         out = np.empty(len(words), dtype=np.uint64)
         for k, w in enumerate(words):
@@ -94,19 +107,20 @@ class Signer:
             self.highs.append(low * 100 // self.percent)
         return int(np.searchsorted(self.highs, size))
 
-    def plan(self, band: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """Bounds of the band's partitions, and a salt for each group and omitted partition."""
+    def plan(self, band: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """Bounds of the band's partitions, a salt for each signature, and how many groups linked sets agree in
+        (0 for the single group of few differences)."""
         if band not in self.plans:
-            self.band(self.highs[-1] + 1 if band >= len(self.highs) else 1)
+            while band >= len(self.highs):
+                self.band(self.highs[-1] + 1)
             k = 2 * self.highs[band] * (100 - self.percent) // (100 + self.percent)
-            groups = (k + 2) // 2
-            if k == 0:
-                self.plans[band] = None  # only equal sets are linked: they're one class
-            else:
-                bounds = [(p << 64) // (3 * groups) for p in range(1, 3 * groups)]
-                with np.errstate(over="ignore"):
-                    salts = mix(np.arange(3 * groups, dtype=np.uint64) + np.uint64(band << 32) + C1).reshape(groups, 3)
-                self.plans[band] = (np.array(bounds, dtype=np.uint64), salts)
+            groups = k // 2 + 4 + k // 16
+            parts, signs = (k + 2, (k + 2) * (k + 1) // 2) if k <= FEW else (3 * groups, 3 * groups)
+            bounds = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                salts = mix(np.arange(signs, dtype=np.uint64) + np.uint64(band << 32) + C1)
+            # k = 0: only equal sets are linked, and they're one class
+            self.plans[band] = None if k == 0 else (bounds, salts, 0 if k <= FEW else groups - k // 2)
         return self.plans[band]
 
     def sign(self, sets: np.ndarray) -> np.ndarray:
@@ -119,16 +133,32 @@ class Signer:
                 plan = self.plan(b)
                 if plan is None:
                     continue
-                bounds, salts = plan
+                bounds, salts, agreeing = plan
                 at = np.concatenate([[0], np.searchsorted(sets, bounds), [len(sets)]])
-                parts = (sums[at[1:]] - sums[at[:-1]]).reshape(-1, 3)
-                for j in range(3):
-                    out.append(mix(mix(parts[:, (j + 1) % 3] + salts[:, j]) + parts[:, (j + 2) % 3] * C3))
+                parts, sizes = sums[at[1:]] - sums[at[:-1]], np.diff(at)
+                if not agreeing:
+                    x, y = np.triu_indices(len(parts), 1)
+                    out.append(mix(mix(parts[x] + salts) + parts[y] * C3))
+                    continue
+                x, y = np.arange(len(parts)).reshape(-1, 3)[:, [1, 2, 0]].ravel(), np.arange(len(parts)).reshape(-1, 3)[:, [2, 0, 1]].ravel()
+                signs, empty = mix(mix(parts[x] + salts) + parts[y] * C3), sizes[x] + sizes[y] == 0
+                out.append(signs[~empty] if empty.reshape(-1, 3).any(axis=1).sum() < agreeing else signs)
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
-def signed(df: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
-    """Packed signatures (``part`` from 0) and documents (``part`` below 0)."""
+def keys_of(df: DataFrame, parts: int) -> list[int]:
+    """For each of ``parts`` hash partitions an integer that Spark deals to it."""
+    keys: dict[int, int] = {}
+    tried = 8 * parts + 64
+    while len(keys) < parts:
+        for r in df.sparkSession.range(tried).selectExpr("cast(id as int) as k", f"pmod(hash(cast(id as int)), {parts}) as p").groupBy("p").agg(F.min("k").alias("k")).collect():
+            keys[r.p] = r.k
+        tried *= 4
+    return [keys[p] for p in range(parts)]
+
+
+def signed(df: DataFrame, width: int, percent: int, parts: list[int]) -> DataFrame:
+    """Packed signatures and documents (payloads that begin with "s" and "d"), by ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(width), Signer(percent)
@@ -139,19 +169,17 @@ def signed(df: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
         held = flushes = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(-1 - (flushes * 7919 + TASK) % parts, b"".join(docs))] if docs else []
+            rows = [(parts[(flushes * 7919 + TASK) % len(parts)], b"d" + b"".join(docs))]
             if held:
-                sig = np.concatenate(sigs)
-                owner = np.repeat(np.arange(len(sigs), dtype=np.uint16), [len(s) for s in sigs])
-                part = ((sig >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
-                order = np.lexsort((sig, part))
-                sig, owner, part = sig[order], owner[order], part[order]
+                sig, owner = np.concatenate(sigs), np.repeat(np.arange(len(sigs), dtype=np.uint16), [len(s) for s in sigs])
+                order = np.argsort(sig)
+                sig, owner = sig[order], owner[order]
                 ids = np.array(classes, dtype=np.uint64)
-                edges = np.flatnonzero(np.diff(part)) + 1
-                for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(sig)]):
-                    used, local = np.unique(owner[begin:end], return_inverse=True)
-                    low = sig[begin:end]
-                    rows.append((int(part[begin]), struct.pack("<II", len(used), end - begin) + ids[used].tobytes() + low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype("<u2").tobytes() + local.astype("<u2").tobytes()))
+                edges = np.searchsorted(sig, np.array([(p << 64) // len(parts) for p in range(1, len(parts))], dtype=np.uint64)).tolist()
+                for p, (begin, end) in enumerate(zip([0, *edges], [*edges, len(sig)])):
+                    if begin < end:
+                        used, local = np.unique(owner[begin:end], return_inverse=True)
+                        rows.append((parts[p], struct.pack("<cII", b"s", len(used), end - begin) + ids[used].tobytes() + sig_bits(sig[begin:end]).astype("<u4").tobytes() + local.astype("<u2").tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "payload"])
 
         from pyspark import TaskContext
@@ -164,7 +192,7 @@ def signed(df: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
                 docs.append(struct.pack("<?qq16s", doc is not None, doc or 0, len(sets), key))
                 if key in seen:
                     continue
-                if len(seen) >= 200_000:
+                if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(key)
                 mine = signer.sign(sets)
@@ -182,6 +210,12 @@ def signed(df: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
     return read.mapInArrow(run, "part int, payload binary")
 
 
+def sig_bits(sig: np.ndarray) -> np.ndarray:
+    """32 bits that tell the signatures of one range apart but for chance, which only adds candidates. They're
+    mixed, since a range's leading bits agree."""
+    return mix(sig) >> np.uint64(32)
+
+
 def bucket_pairs(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """From one range's signatures and classes: candidate pairs, and signature and class of the members of
     buckets of more than SMALL classes."""
@@ -215,21 +249,20 @@ def candidates(packed: DataFrame) -> DataFrame:
         names = ["kind", "a", "b", "n", "key"]
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if part < 0:
-                    rows = list(struct.iter_unpack("<?qq16s", data))
+                if data[:1] == b"d":
+                    rows = list(struct.iter_unpack("<?qq16s", data[1:]))
                     ids = pa.array([r[1] if r[0] else None for r in rows], pa.int64())
                     nothing = pa.nulls(len(rows), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([2] * len(rows), pa.int32()), ids, nothing, pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())], names)
                     continue
-                m, n = struct.unpack_from("<II", data)
-                ids = np.frombuffer(data, "<u8", m, 8)
-                low = np.frombuffer(data, "<u4", n, 8 + 8 * m).astype(np.uint64)
-                high = np.frombuffer(data, "<u2", n, 8 + 8 * m + 4 * n).astype(np.uint64)
-                held.setdefault(part, []).append((low | high << np.uint64(32), ids[np.frombuffer(data, "<u2", n, 8 + 8 * m + 6 * n)]))
+                _, m, n = struct.unpack_from("<cII", data)
+                ids = np.frombuffer(data, "<u8", m, 9)
+                sig = np.frombuffer(data, "<u4", n, 9 + 8 * m)
+                held.setdefault(part, []).append((sig.copy(), ids[np.frombuffer(data, "<u2", n, 9 + 8 * m + 4 * n)]))
         while held:
             part, got = held.popitem()
             a, b, bucket, member = bucket_pairs(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-            bucket = bucket ^ np.uint64(part) << np.uint64(48)
+            bucket = bucket.astype(np.uint64) | np.uint64(part) << np.uint64(32)
             for kind, x, y in ((0, a, b), (1, bucket, member)):
                 for k in range(0, len(x), 50_000):
                     p, q = x[k : k + 50_000].view(np.int64), y[k : k + 50_000].view(np.int64)
@@ -249,11 +282,38 @@ def maybe_in(df: DataFrame, column: Column, ids: DataFrame, flag: str) -> DataFr
     return marked.withColumn(flag, F.coalesce(F.expr("(shiftright(bits, cast(place__ % 64 as int)) & 1L) = 1"), F.lit(False))).drop("place__", "word", "bits")
 
 
+def sketch_of(sets: np.ndarray) -> bytes:
+    """Whether an odd number of elements falls into each of so many places that few share one."""
+    places = max(256, 1 << (2 * len(sets) - 1).bit_length())
+    with np.errstate(over="ignore"):
+        odd = np.bincount((mix(sets ^ C2) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, the longer ones folded to the length of the shortest."""
+    rows, least = [np.frombuffer(x, np.uint64) for x in sketches], min(map(len, sketches)) // 8
+    while any(len(r) > least for r in rows):
+        rows = [r[: len(r) // 2] ^ r[len(r) // 2 :] if len(r) > least else r for r in rows]
+    return np.stack(rows)
+
+
+def may_link(apart, n, m, percent: int):
+    """Whether sets of these sizes that differ in at least ``apart`` elements can be linked."""
+    return (apart * (100 + percent) <= (n + m) * (100 - percent)) & (100 * n >= percent * m) & (100 * m >= percent * n)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked pairs ``u``, ``v`` (class keys) among candidate pairs ``a``, ``b`` (short classes)."""
+    """The linked pairs ``u``, ``v`` (class keys) among candidate pairs ``a``, ``b`` (short classes), or ``u``, ``v``."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "s_v", 4 << 20):
+            u, v, n, m, s, t = (c.to_pylist() for c in batch.columns)
+            keep = [k for k in range(len(u)) if may_link(int(np.bitwise_count(np.bitwise_xor(*folded([s[k], t[k]]))).sum()), n[k], m[k], percent)]
+            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "set_v", 8 << 20):
+        for batch in slices(batches, "set_v", 4 << 20):
             u, v = [], []
             for ku, kv, su, sv in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = np.frombuffer(su, np.uint64), np.frombuffer(sv, np.uint64)
@@ -263,10 +323,58 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     v.append(kv)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-    left = sets.select(F.col("short").alias("a"), F.col("key").alias("u"), F.col("set").alias("set_u"))
-    right = sets.select(F.col("short").alias("b"), F.col("key").alias("v"), F.col("set").alias("set_v"))
-    near = F.least(F.length("set_u"), F.length("set_v")) * 100 >= F.greatest(F.length("set_u"), F.length("set_v")) * percent
-    return pairs.join(left, "a").join(right, "b").where((F.col("u") != F.col("v")) & near).select("u", "v", "set_u", "set_v").mapInArrow(run, "u binary, v binary")
+    if "a" in pairs.columns:
+        side = lambda short, key, n, sketch: sets.select(F.col("short").alias(short), F.col("key").alias(key), F.col("n").alias(n), F.col("sketch").alias(sketch))
+        near = (F.col("n_u") * 100 >= F.col("n_v") * percent) & (F.col("n_v") * 100 >= F.col("n_u") * percent) & (F.col("u") != F.col("v"))
+        both_sides = pairs.join(side("a", "u", "n_u", "s_u"), "a").join(side("b", "v", "n_v", "s_v"), "b").where(near)
+        pairs = written(both_sides.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(sketched, "u binary, v binary"), "shingle-likely")
+    whole = lambda key: sets.select(F.col("key").alias(key), F.col("set").alias(f"set_{key}"))
+    return pairs.join(whole("u"), "u").join(whole("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u binary, v binary")
+
+
+def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of large buckets of several components, with their ``root``."""
+    rooted = members.join(roots, F.col("key") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "key").alias("root"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    return written(rooted.join(several, "bucket", "left_semi"), "shingle-open")
+
+
+def pivot_pairs(apart: DataFrame, turn: int) -> DataFrame:
+    """Each bucket's most central member with the members outside of its component; at later turns the most
+    central one outside of the first one's component."""
+    order = F.struct("degree", "key")
+    main = apart.groupBy("bucket").agg(F.max_by("root", order).alias("main"))
+    others = apart if not turn else apart.join(main, "bucket").where("root <> main").drop("main")
+    pivot = others.groupBy("bucket").agg(F.max_by("short", order).alias("a"), F.max_by("root", order).alias("near"))
+    return apart.join(pivot, "bucket").where("root <> near").select("a", F.col("short").alias("b")).distinct()
+
+
+def block_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``u``, ``v`` between components of a bucket that sizes and sketches allow, found in blocks of BLOCK."""
+    at = F.floor((F.row_number().over(Window.partitionBy("bucket").orderBy("n", "key")) - 1) / BLOCK).cast("int")
+    placed = apart.select("bucket", "key", "root", "n", at.alias("block"))
+    last = placed.groupBy("bucket").agg(F.max("block").alias("last"))
+    dealt = placed.join(last, "bucket").select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    dealt = dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).join(sets.select("key", "sketch"), "key")
+
+    def run(table: pa.Table) -> pa.Table:
+        cells = {c: table.column(c).to_pylist() for c in ("key", "root", "n", "sketch", "block", "lo", "hi")}
+        keys, n, block, sketch = cells["key"], np.array(cells["n"]), np.array(cells["block"]), folded(cells["sketch"])
+        names = {r: k for k, r in enumerate(dict.fromkeys(cells["root"]))}
+        root = np.array([names[r] for r in cells["root"]])
+        u, v, same = [], [], cells["lo"][0] == cells["hi"][0]
+        step = max(1, (16 << 20) // sketch.nbytes)
+        for i in range(0, len(keys), step):
+            rows = slice(i, i + step)
+            fits = (root[rows, None] != root[None, :]) & (np.arange(len(keys))[rows, None] < np.arange(len(keys))[None, :]) & (same | (block[rows, None] != block[None, :]))
+            if fits.any():
+                apart_ = np.bitwise_count(sketch[rows, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
+                for x, y in np.argwhere(fits & may_link(apart_, n[rows, None], n[None, :], percent)).tolist():
+                    u.append(min(keys[i + x], keys[y]))
+                    v.append(max(keys[i + x], keys[y]))
+        return pa.table([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(run, "u binary, v binary").distinct()
 
 
 def link_components(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,7 +388,7 @@ def link_components(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     owners = partitions_for(docs, OWNED_BYTES, 2 * (100 - percent) / 10)
-    packed = signed(docs, width, percent, 4 * owners).repartition(owners, "part")
+    packed = signed(docs, width, percent, keys_of(docs, owners)).repartition(owners, "part")
     rows = written(candidates(packed), "shingle-candidates")
     found = rows.where("kind = 2").select(F.col("a").alias("id"), "n", "key")
     classes = written(found.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n")).withColumn("short", short_of(F.col("key"))), "shingle-classes")
@@ -292,19 +400,18 @@ def link_components(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     sets = written(sets_of(docs, wanted, width), "shingle-sets")
     links = written(verified(pairs, sets, percent), "shingle-links")
     roots = connected(links)
-    labelled = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", "n", "short", F.coalesce("root", "key").alias("root"))
-    inside = big.join(labelled.select("short", "n", "root"), "short")
-    split = inside.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    open_members = written(inside.join(split, "bucket", "left_semi"), "shingle-open")
-    if open_members.limit(1).count():
-        x, y = open_members.alias("x"), open_members.alias("y")
-        near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-        more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & near)
-        more = more.select(F.least("x.short", "y.short").alias("a"), F.greatest("x.short", "y.short").alias("b")).distinct()
-        more = written(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "shingle-pairs")
-        links = links.unionByName(written(verified(more, sets, percent), "shingle-links"))
-        roots = connected(links)
-        labelled = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", "n", "short", F.coalesce("root", "key").alias("root"))
+    if big.limit(1).count():
+        sized = big.join(big.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
+        degrees = sized.groupBy("short").agg(F.sum("size").alias("degree"))
+        members = written(big.join(degrees, "short").join(classes.select("short", "key", "n"), "short"), "shingle-members")
+        for turn in range(PIVOTS + 1):
+            apart = still_apart(members, roots)
+            if not apart.limit(1).count():
+                break
+            more = written(pivot_pairs(apart, turn) if turn < PIVOTS else block_pairs(apart, sets, percent), "shingle-more")
+            links = links.unionByName(written(verified(more, sets, percent), "shingle-links"))
+            roots = connected(links)
+    labelled = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep").alias("component"))
     named = labelled.join(least, "root").select("key", "component")
     return found.join(named, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
@@ -320,19 +427,19 @@ def short_of(key: Column) -> Column:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``key``, ``short`` and ``set`` (sorted hashes) of the wanted classes, from the texts of their least documents.
+    """``key``, ``short``, ``n``, ``sketch`` and ``set`` (sorted hashes) of the wanted classes, from the texts of their least documents.
     Documents that are surely not wanted are left out before the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in slices(batches, "text"):
             sets = [shingler.set_of(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(1), batch.column(2)], ["got", "set", "key", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary()), batch.column(1), batch.column(2)], ["got", "set", "n", "sketch", "key", "short"])
 
     likely = maybe_in(docs, F.col("id"), wanted.select("rep"), "likely").where(F.col("likely") | F.col("id").isNull())
     read = likely.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "key", "short")
-    made = read.where("text is not null").mapInArrow(run, "got binary, set binary, key binary, short long")
-    return made.where("got = key").select("key", "short", "set").dropDuplicates(["key"])
+    made = read.where("text is not null").mapInArrow(run, "got binary, set binary, n long, sketch binary, key binary, short long")
+    return made.where("got = key").select("key", "short", "n", "sketch", "set").dropDuplicates(["key"])
 
 
 def drop_near_copies(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

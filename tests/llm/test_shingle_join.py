@@ -67,6 +67,34 @@ def test_components(spark, width, percent, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, width, percent)
 
 
+def test_many_near_copies_without_a_common_link(spark, monkeypatch):
+    from glyphmill.llm import shingle_join
+
+    monkeypatch.setattr(shingle_join, "BLOCK", 16)
+    r = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [r.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 6, 8])):
+            copy[r.randrange(150)] = r.choice(vocabulary)
+        rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    got = link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=3, percent=90)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()) == brute(rows, 3, 90)
+
+
+def test_sketches_never_overstate():
+    from glyphmill.llm.shingle_join import folded, sketch_of
+
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        x = np.unique(mix(r.integers(0, 1 << 63, int(r.integers(1, 700))).astype(np.uint64)))
+        y = np.unique(np.concatenate([x[int(r.integers(0, 60)):], mix(r.integers(0, 1 << 63, int(r.integers(0, 600))).astype(np.uint64))]))
+        assert int(np.bitwise_count(np.bitwise_xor(*folded([sketch_of(x), sketch_of(y)]))).sum()) <= len(np.setxor1d(x, y))
+
+
 def test_edges_of_input(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (4, "other words here now"), (9, "long word " * 30_000)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in link_components(df, width=3, percent=90).collect())
@@ -78,8 +106,8 @@ def test_edges_of_input(spark):
 def test_linked_sets_share_a_signature(percent):
     r = np.random.default_rng(1)
     signer = Signer(percent)
-    for _ in range(300):
-        n = int(r.integers(2, 400))
+    for _ in range(1500):
+        n = int(r.integers(2, 700))
         x = np.unique(mix(r.integers(0, 1 << 63, n).astype(np.uint64)))
         gone = int(r.integers(0, n // 4 + 1))
         y = np.unique(np.concatenate([r.permutation(x)[gone:], mix(r.integers(0, 1 << 63, int(r.integers(0, n // 4 + 1))).astype(np.uint64))]))
