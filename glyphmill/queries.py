@@ -16,15 +16,12 @@ from .options import CleanOptions
 from .plans import corpus
 from .sinks import tsv
 from .sources import feeds, registry
+from .sources.tables import read_table as table
 
 NARROW, WIDE = ".,!?;:", "。，！？；："
 TEXT = "coalesce(text, '')"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
 
