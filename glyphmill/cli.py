@@ -3,6 +3,7 @@
 import argparse
 import dataclasses
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "clean":
         options = dataclasses.replace(CleanOptions(), min_sentence_len=a.min_len, max_sentence_len=a.max_len, deduplicate=not a.no_dedup, filter_news_boilerplates=not a.no_boilerplate_filter, require_chinese=a.chinese_only, vetted_color_only=a.vetted_only)
         docs = files.read_corpus(spark, a.input, vetted_only=a.vetted_only)
-        made, labelled, cleaned = corpus.run(docs, options, category=a.category)
+        made, labelled, cleaned = corpus.run(docs, options, category=a.category, storage=StorageLevel.DISK_ONLY)
         made = made.persist()
         tsv.write_tsv(tsv.item_columns(made), a.output)
         corpus.run_stats(cleaned, labelled, made).show(vertical=True)

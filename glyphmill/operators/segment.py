@@ -13,9 +13,8 @@ def explode_sentences(df: DataFrame, protect_quotes: bool = True, text_col: str
     return df.select(*others, F.posexplode(udfs.sentences(F.col(text_col), protect_quotes)).alias("sent_ord", "sentence"))
 
 
-def drop_reason(sentence: Column, options: CleanOptions = CleanOptions()) -> Column:
-    """Why a sentence is dropped before deduplication (short, long or non_chinese), or null."""
-    bare = native.strip(sentence)
+def drop_reason(bare: Column, options: CleanOptions = CleanOptions()) -> Column:
+    """Why a stripped sentence is dropped before deduplication (short, long or non_chinese), or null."""
     reason = F.when(F.length(bare) < options.min_sentence_len, "short")
     if options.max_sentence_len > 0:
         reason = reason.when(F.length(bare) > options.max_sentence_len, "long")
@@ -32,9 +31,11 @@ def first_of_each(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return least.select(*(F.col(c) if c in by else F.col(f"m.{c}").alias(c) for c in df.columns))
 
 
-def label_sentences(df: DataFrame, options: CleanOptions, doc_key: str, order: list[str]) -> DataFrame:
-    """``reason`` for each sentence; duplicates are told by ``kept_ord`` in ``keep_first``."""
-    return df.withColumn("sentence", native.strip(F.col("sentence"))).withColumn("reason", drop_reason(F.col("sentence"), options))
+def label_sentences(df: DataFrame, options: CleanOptions, stripped: bool = False) -> DataFrame:
+    """``reason`` for each sentence (null: it passes). ``stripped``: sentences are known to be, as those of
+    ``explode_sentences``. Duplicates are told later, by ``keep_first``."""
+    bare = df if stripped else df.withColumn("sentence", native.strip(F.col("sentence")))
+    return bare.withColumn("reason", drop_reason(F.col("sentence"), options))
 
 
 def keep_first(df: DataFrame, options: CleanOptions, doc_key: str, order: list[str]) -> DataFrame:

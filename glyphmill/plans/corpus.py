@@ -4,6 +4,7 @@ documents -> clean -> normalise -> drop notices -> sentences -> filters -> keep
 Two shuffles: of accepted sentences, combined before, and of kept sentences to their documents.
 """
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def label(cleaned: DataFrame, options: CleanOptions, order: list[str]) -> DataFr
     """All sentences of cleaned documents with ``reason``, before deduplication."""
     keys = list(dict.fromkeys(["doc_key", "doc_id", *order]))
     exploded = segment.explode_sentences(cleaned.select(*keys, "text"), options.protect_dialog_quotes)
-    return segment.label_sentences(exploded, options, "doc_key", [*order, "sent_ord"])
+    return segment.label_sentences(exploded, options, stripped=True)
 
 
 def items(labelled: DataFrame, options: CleanOptions, order: list[str], category: str = "general", adapter: profile.Adapter | None = None) -> DataFrame:
@@ -38,11 +39,13 @@ def items(labelled: DataFrame, options: CleanOptions, order: list[str], category
     return profile.profile_items(base, adapter or profile.LexiconAdapter())
 
 
-def run(docs: DataFrame, options: CleanOptions = CleanOptions(), *, doc_key: Column | None = None, order: list[str] = ("path_parts", "row_idx"), category: str = "general", adapter: profile.Adapter | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def run(docs: DataFrame, options: CleanOptions = CleanOptions(), *, doc_key: Column | None = None, order: list[str] = ("path_parts", "row_idx"), category: str = "general", adapter: profile.Adapter | None = None, storage: StorageLevel | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items, labelled sentences and cleaned documents of ``docs`` (``doc_id``, ``text`` and the columns ``order``). All are lazy;
-    persist the second to compute items and ``run_stats`` from one pass."""
+    with ``storage`` cleaned documents are persisted there, so that items and ``run_stats`` clean them once."""
     key = doc_key if doc_key is not None else F.struct(*order)
     cleaned = clean_documents(docs.withColumn("doc_key", key), options)
+    if storage is not None:
+        cleaned = cleaned.persist(storage)
     labelled = label(cleaned, options, list(order))
     return items(labelled, options, list(order), category, adapter), labelled, cleaned
 

@@ -6,6 +6,7 @@ full-width ones in both engines alike.
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +99,7 @@ def segment_quoted(spark, sf_dir):
 
 
 def labelled(spark, sf_dir) -> DataFrame:
-    return segment.label_sentences(wide_sentences(spark, sf_dir), CleanOptions(), "doc_id", ["doc_id", "sent_ord"])
+    return segment.label_sentences(wide_sentences(spark, sf_dir), CleanOptions(), stripped=True)
 
 
 def drop_reasons(spark, sf_dir):
@@ -107,7 +108,7 @@ def drop_reasons(spark, sf_dir):
 
 def require_chinese(spark, sf_dir):
     some = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("中文"), "text")).otherwise(F.col("text"))
-    reason = segment.drop_reason(F.substring(some, 1, 100), CleanOptions(require_chinese=True))
+    reason = segment.drop_reason(native.strip(F.substring(some, 1, 100)), CleanOptions(require_chinese=True))
     return documents(spark, sf_dir).select("doc_id", F.coalesce(reason, F.lit("passed")).alias("reason"))
 
 
@@ -263,9 +264,9 @@ def cleaned_full(spark, sf_dir):
     return clean(documents(spark, sf_dir).select("doc_id", wide(F.col("text")).alias("text")))
 
 
-def plan(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan(spark, sf_dir, storage=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = documents(spark, sf_dir).select("doc_id", wide(F.col("text")).alias("text"))
-    return corpus.run(docs, doc_key=F.col("doc_id"), order=["doc_id"], adapter=profile.LexiconAdapter("", inside="a-z"))
+    return corpus.run(docs, doc_key=F.col("doc_id"), order=["doc_id"], adapter=profile.LexiconAdapter("", inside="a-z"), storage=storage)
 
 
 def pipeline_full(spark, sf_dir):
@@ -274,7 +275,7 @@ def pipeline_full(spark, sf_dir):
 
 
 def run_stats(spark, sf_dir):
-    made, sentences, cleaned = plan(spark, sf_dir)
+    made, sentences, cleaned = plan(spark, sf_dir, StorageLevel.DISK_ONLY)
     return corpus.run_stats(cleaned, sentences, made)
 
 

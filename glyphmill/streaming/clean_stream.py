@@ -22,7 +22,7 @@ def sentence_stream(files: DataFrame, options: CleanOptions = CleanOptions(), wa
 def accepted(docs: DataFrame, options: CleanOptions = CleanOptions(), watermark: str = "1 hour") -> DataFrame:
     """Accepted sentences of documents ``doc_id``, ``text``, ``seen_at``."""
     cleaned = clean_documents(docs.select("doc_id", "text", "seen_at"), options)
-    labelled = label_sentences(explode_sentences(cleaned.select("doc_id", "seen_at", "text"), options.protect_dialog_quotes), options, "doc_id", ["sent_ord"])
+    labelled = label_sentences(explode_sentences(cleaned.select("doc_id", "seen_at", "text"), options.protect_dialog_quotes), options, stripped=True)
     passed = labelled.where("reason is null").select("doc_id", "sent_ord", "sentence", "seen_at")
     return passed.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["sentence"]) if options.deduplicate else passed
 

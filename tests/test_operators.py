@@ -103,7 +103,7 @@ def test_filters_and_first(spark):
     rows = [(0, k, s) for k, s in enumerate(["短", "太短了", "這是一句標準長度的繁體中文測試語句。", "這是一句標準長度的繁體中文測試語句。"])] + [(1, 0, "這是一句標準長度的繁體中文測試語句。"), (1, 1, "latin only sentence"), (1, 2, "長" * 121)]
     df = spark.createDataFrame(rows, "doc_key int, sent_ord int, sentence string").repartition(3)
     options = CleanOptions(require_chinese=True)
-    labelled = segment.label_sentences(df, options, "doc_key", ["doc_key", "sent_ord"])
+    labelled = segment.label_sentences(df, options)
     assert sorted((r.reason or "") for r in labelled.collect()) == ["", "", "", "long", "non_chinese", "short", "short"]
     kept = segment.keep_first(labelled, options, "doc_key", ["doc_key", "sent_ord"]).collect()
     assert [(r.doc_key, r.sent_ord) for r in kept] == [(0, 2)]
