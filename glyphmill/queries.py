@@ -16,7 +16,7 @@ from .operators.clean import clean, clean_html, normalize
 from .options import CleanOptions
 from .plans import corpus
 from .sinks import tsv
-from .sources import feeds, registry
+from .sources import feeds, files, registry
 from .sources.tables import read_table as table
 
 NARROW, WIDE = ".,!?;:", "。，！？；："
@@ -224,6 +224,15 @@ def feed_items(spark, sf_dir):
     return feeds.read_feeds(made).select("page_id", F.col("item").cast("long").alias("item"), "title", "link", "content", "type")
 
 
+def scan_files(spark, sf_dir):
+    """Each document as a file of its own, as text, JSON lines, JSON and TSV by turns."""
+    k, flat = F.col("doc_id") % 4, F.regexp_replace("text", "[\"\t\r\n]", " ")
+    suffix = F.element_at(F.array(*map(F.lit, ("txt", "jsonl", "json", "tsv"))), (k + 1).cast("int"))
+    content = F.when(k == 0, F.col("text")).when(k == 1, F.to_json(F.struct(F.col("text").alias("content")))).when(k == 2, F.to_json(F.array(F.struct("text")))).otherwise(F.concat(F.lit("id\ttext\n"), F.col("doc_id").cast("string"), F.lit("\t"), flat))
+    made = documents(spark, sf_dir).select(F.concat(F.lit("file:/in/d"), F.col("doc_id").cast("string"), F.lit("."), suffix).alias("path"), F.encode(content, "UTF-8").alias("content"))
+    return files.parse_files(made).select("doc_id", F.md5("text").alias("text_md5"), F.col("meta.format").alias("format"), F.col("meta.encoding").alias("encoding"))
+
+
 def align_cards(spark, sf_dir):
     card = F.concat(F.rpad(F.regexp_replace("text", r"[^A-Za-z ]|\n", " "), 200, "a"), F.lit("\n\nDiscourse "), F.col("doc_id").cast("string"), F.lit("\n\n一二三四五六七八九十百千,好\n\n大法會 卷1"))
     cards = documents(spark, sf_dir).select(F.format_string("d%d.txt", "doc_id").alias("file_name"), card.alias("text"))
@@ -285,7 +294,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         strip_contacts, strip_html_tags, unescape_html, strip_markdown, strip_social, compress_punct, cap_repeats, strip_invisible, fullwidth, dialog_quotes,
         boilerplate_lines, segment_sentences, segment_quoted, drop_reasons, require_chinese, dedup_first, dedup_in_document, registry_new, registry_known, file_names,
         lexicon_oov, lexicon_rates, batch_summary, slm_profile, slm_counts, char_entropy, hash_split, seeded_split, term_rewrite, legacy_terms, diacritics, discourse_layout,
-        green_runs, extract_pages, feed_items, align_cards, tsv_columns, pair_columns, alpaca_export, sharegpt_export, type_token_ratio, normalize_full, cleaned_full, pipeline_full, run_stats,
+        green_runs, extract_pages, feed_items, scan_files, align_cards, tsv_columns, pair_columns, alpaca_export, sharegpt_export, type_token_ratio, normalize_full, cleaned_full, pipeline_full, run_stats,
     )
 }
 
@@ -378,6 +387,11 @@ ORACLE_SQL: dict[str, str] = {
     "diacritics": f"SELECT doc_id, md5({_TYPED}) AS text_md5 FROM documents",
     "green_runs": "SELECT doc_id, g > r * 1.1::DOUBLE AND g > b * 1.1::DOUBLE AND g > 75 AS is_vetted FROM (SELECT doc_id, ('0x' || h[1:2])::INT AS r, ('0x' || h[3:4])::INT AS g, ('0x' || h[5:6])::INT AS b FROM (SELECT doc_id, upper(md5(doc_id::VARCHAR)) AS h FROM documents))",
     "feed_items": "SELECT page_id, 0::BIGINT AS item, 'page ' || page_id AS title, url AS link, 'about ' || url AS content, 'rss2.0' AS type FROM pages",
+    "scan_files": rf"""
+        SELECT 'd' || doc_id || CASE doc_id % 4 WHEN 0 THEN '' WHEN 3 THEN '_2' ELSE '_1' END AS doc_id, md5(CASE WHEN doc_id % 4 = 3 THEN regexp_replace({TEXT}, '["\x09\x0a\x0d]', ' ', 'g') ELSE {TEXT} END) AS text_md5,
+            CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.jsonl' WHEN 2 THEN '.json' ELSE '.tsv' END AS format, 'utf-8' AS encoding
+        FROM documents
+    """,
     "tsv_columns": rf"SELECT printf('d_%04d', doc_id) AS CORPUS_ID, 'general' AS CATEGORY, 'L1' AS DIFFICULTY, length({TEXT})::VARCHAR AS CHAR_LEN, printf('%.4f', round(length({TEXT}) / 65536, 4)) AS OOV_RATE, translate({TEXT}, chr(9) || chr(10) || chr(13), '  ') AS CLEAN_TEXT, CASE WHEN doc_id % 2 = 0 THEN 'YES' ELSE 'NO' END AS FEASIBLE_RUHI, 'a b' AS NOTE FROM documents",
     "pair_columns": f"SELECT 'pair_' || doc_id AS PAIR_ID, 'f.txt' AS SOURCE_FILE, translate(substr({TEXT}, 1, 50), chr(9), ' ') AS EN_TEXT, '中 文' AS ZH_TEXT, '' AS IT_TEXT, 'c' AS CITATION_EN, '' AS CITATION_ZH, length(substr({TEXT}, 1, 50))::VARCHAR AS EN_CHAR_LEN, '3' AS ZH_CHAR_LEN FROM documents",
     "alpaca_export": r"""SELECT '{"instruction":"continue","input":"' || regexp_replace(substr(text, 1, 60), '[\x00-\x1f"\\/]', ' ', 'g') || '","output":"ok"}' AS value FROM benchmark WHERE text IS NOT NULL""",
