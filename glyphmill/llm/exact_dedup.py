@@ -79,9 +79,9 @@ def directory(hashes: DataFrame, capacity: int, greatest_depth: int = GREATEST_D
     return depth, slots
 
 
-def owned(index: DataFrame, capacity: int) -> DataFrame:
-    """The entries dealt to owner tasks by bucket and sorted by hash within them."""
-    depth, slots = directory(index.select("h"), capacity)
+def owned(index: DataFrame, hashes: DataFrame, capacity: int) -> DataFrame:
+    """The entries dealt to owner tasks by bucket and sorted by hash within them. ``hashes``: their hashes alone."""
+    depth, slots = directory(hashes, capacity)
     spark = index.sparkSession
     table = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
     slot = F.shiftright("h", 64 - depth) + F.lit(1 << (depth - 1))
@@ -155,7 +155,7 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 yield flush()
         yield flush()
 
-    dealt = owned(index, capacity).select("h", "ids", "text", "sha")
+    dealt = owned(index, index.select("h"), capacity).select("h", "ids", "text", "sha")
     rows = written(dealt.mapInArrow(run, "h long, place int, number long, sha binary, ids array<long>, keep long, size long, keep_at long"), "exact-chains")
     groups = rows.where("number is null").select("h", "place", "keep", "size", "keep_at")
     found = rows.where("number is not null").select("h", "place", "number", "sha", "ids").join(groups, ["h", "place"])
@@ -171,9 +171,11 @@ def find_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, hash_bits: int = HASH_BITS) -> DataFrame:
     """The rows of ``df`` that ``find_copies`` keeps, with all their columns. The kept row travels in its
-    entry, so no join back to ``df`` is needed; nulls and ties as there."""
+    entry, so no join back to ``df`` is needed; nulls and ties as there. Of the index only the hashes are
+    written to the shared folder: the entries, made again, go to their owners by one shuffle."""
     columns = df.columns
-    index = written(entries(df, id_col=id_col, text_col=text_col, keep=columns, hash_bits=hash_bits), "exact-index")
+    index = entries(df, id_col=id_col, text_col=text_col, keep=columns, hash_bits=hash_bits)
+    hashes = written(index.select("h"), "exact-hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -194,6 +196,6 @@ def drop_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         if kept:
             yield from flush()
 
-    dealt = owned(index, capacity).select("h", "ids", "text", "row")
+    dealt = owned(index, hashes, capacity).select("h", "ids", "text", "row")
     rows = dealt.mapInArrow(run, T.StructType([index.schema["row"]]))
     return rows.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(columns)))
