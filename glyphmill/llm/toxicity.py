@@ -16,7 +16,7 @@ hash), in one task; everything else covers all rows. The fitted model is a few m
 import io
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,14 +53,16 @@ class Model:
 
     def features(self, text: str | None) -> np.ndarray:
         """The mean ratio of the whole text and of its most toxic words; all 0 without words."""
-        known = words(text)
-        if not known:
+        known, get = words(text), self.ids.get
+        return self.features_of(np.fromiter((get(w, 0) for w in known), dtype=np.int64, count=len(known)))
+
+    def features_of(self, ids: np.ndarray) -> np.ndarray:
+        """The same for a text's words as numbers in the vocabulary (0: unknown)."""
+        if not len(ids):
             return np.zeros(1 + len(TOPS))
-        get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in known), dtype=np.int64, count=len(known))
         ratio = self.word_ratio[ids]
         if len(self.pairs) and len(ids) > 1:
-            key = ids[:-1] * (len(self.word_ratio) + 1) + ids[1:]
+            key = ids[:-1].astype(np.int64) * (len(self.word_ratio) + 1) + ids[1:]
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             hit = self.pairs[at] == key
             ratio[1:][hit] = self.pair_ratio[at[hit]]
@@ -85,17 +87,42 @@ class Model:
         return cls(said.split("\n") if said else [], x["word_ratio"], x["pairs"], x["pair_ratio"], x["weights"])
 
 
-def fit_ratios(texts: list[list[str]], toxic: list[int], order: int = 1) -> Model:
-    """The two Kneser-Ney models over tokenised texts, as ratios."""
-    total = Counter(w for t in texts for w in t)
-    vocabulary = sorted(w for w, n in total.most_common(MOST_WORDS) if n > 1)
-    ids = {w: k + 1 for k, w in enumerate(vocabulary)}
+class Numbered:
+    """Words as numbers in the order of their first appearance, so that a text is held as four bytes a word."""
+
+    def __init__(self):
+        self.ids: defaultdict[str, int] = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+
+    def encode(self, said: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, said), dtype=np.int32, count=len(said))
+
+
+def fit_ratios(texts: list[np.ndarray], toxic: list[int], numbered: Numbered, order: int = 1) -> tuple[Model, np.ndarray]:
+    """The two Kneser-Ney models over numbered texts, as ratios, and each number's place in the vocabulary."""
+    total = np.zeros(len(numbered.ids), dtype=np.int64)
+    for t in texts:
+        np.add.at(total, t, 1)
+    often = np.flatnonzero(total > 1)
+    if len(often) > MOST_WORDS:
+        often = often[np.lexsort((often, -total[often]))[:MOST_WORDS]]
+    names = list(numbered.ids)
+    often = np.array(sorted(often.tolist(), key=names.__getitem__), dtype=np.int64)
+    vocabulary = [names[k] for k in often.tolist()]
+    place = np.zeros(len(names), dtype=np.int64)
+    place[often] = np.arange(1, len(often) + 1)
     n = len(vocabulary) + 1
     counts, pair_keys, pair_counts = [], [], []
     for c in (0, 1):
-        seqs = [np.array([ids.get(w, 0) for w in t], dtype=np.int64) for t, y in zip(texts, toxic) if y == c and t]
-        counts.append(np.bincount(np.concatenate([np.unique(s) for s in seqs]), minlength=n).astype(float) if seqs else np.zeros(n))
-        keys, times = np.unique(np.concatenate([np.unique(s[:-1] * (n + 1) + s[1:]) for s in seqs]), return_counts=True) if seqs else (np.empty(0, np.int64), np.empty(0, np.int64))
+        count, found = np.zeros(n), []
+        for t, y in zip(texts, toxic):
+            if y == c and len(t):
+                s = place[t]
+                count[np.unique(s)] += 1
+                if order > 1:
+                    found.append(np.unique(s[:-1] * (n + 1) + s[1:]))
+        counts.append(count)
+        keys, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
         pair_keys.append(keys)
         pair_counts.append(times.astype(float))
     shared = counts[0] + counts[1] + 0.5
@@ -107,8 +134,8 @@ def fit_ratios(texts: list[list[str]], toxic: list[int], order: int = 1) -> Mode
         lower.append(kept / whole + (1 - kept.sum() / whole) * shared)
     word_ratio = np.log(lower[1]) - np.log(lower[0])
     word_ratio[0] = 0.0  # an unknown word is told by the shared counts alone
-    often = np.unique(np.concatenate([k[t > PAIR_DISCOUNT] for k, t in zip(pair_keys, pair_counts)]))
-    often = often[:0] if order == 1 else often[(often // (n + 1) > 0) & (often % (n + 1) > 0)]
+    seen = np.unique(np.concatenate([k[t > PAIR_DISCOUNT] for k, t in zip(pair_keys, pair_counts)]))
+    often = seen[(seen // (n + 1) > 0) & (seen % (n + 1) > 0)]
     logs = []
     for c in (0, 1):
         v, w = often // (n + 1), often % (n + 1)
@@ -122,7 +149,7 @@ def fit_ratios(texts: list[list[str]], toxic: list[int], order: int = 1) -> Mode
     if len(often) > MOST_PAIRS:
         strongest = np.sort(np.argpartition(-np.abs(ratio - word_ratio[often % (n + 1)]), MOST_PAIRS)[:MOST_PAIRS])
         often, ratio = often[strongest], ratio[strongest]
-    return Model(vocabulary, word_ratio, often, ratio)
+    return Model(vocabulary, word_ratio, often, ratio), place
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -139,17 +166,16 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b
 
 
-def fit(ids: list, texts: list[str | None], toxic: list[int], class_weight: tuple[float, float] = (1.0, 1.0)) -> Model:
+def fit(ids: list, said: list[np.ndarray], toxic: list[int], numbered: Numbered, class_weight: tuple[float, float] = (1.0, 1.0)) -> Model:
     """Models and logistic weights. The weights are fitted on each fold's features from models of the others."""
-    order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k] or ""))
-    said, y = [words(texts[k]) for k in order], np.array([toxic[k] for k in order])
-    model = fit_ratios(said, y.tolist())
-    fold = np.array([zlib.crc32(f"fold {ids[k]}".encode()) % FOLDS for k in order])
-    x = np.zeros((len(order), 1 + len(TOPS)))
+    y, fold = np.array(toxic, dtype=np.int64), np.array([zlib.crc32(f"fold {k}".encode()) % FOLDS for k in ids])
+    model, _ = fit_ratios(said, toxic, numbered)
+    x = np.zeros((len(ids), 1 + len(TOPS)))
     for f in range(FOLDS):
-        other = fit_ratios([s for s, a in zip(said, fold) if a != f], y[fold != f].tolist())
-        for k in np.flatnonzero(fold == f):
-            x[k] = other.features(texts[order[k]])
+        others = np.flatnonzero(fold != f).tolist()
+        other, place = fit_ratios([said[k] for k in others], y[others].tolist(), numbered)
+        for k in np.flatnonzero(fold == f).tolist():
+            x[k] = other.features_of(place[said[k]])
     model.weights = logistic(x, y, np.array(class_weight)[y]) if len(y) else np.zeros(x.shape[1] + 1)
     return model
 
@@ -170,17 +196,18 @@ def train(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST
     if not sample:
         return Model([], np.zeros(1), np.empty(0, np.int64), np.empty(0), np.zeros(2 + len(TOPS)))
     chosen = F.broadcast(spark.createDataFrame([(r.id, r.toxic) for r in sample], "id long, toxic int"))
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "text", "toxic")
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("id", "text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[], [], []]
-        for batch in batches:
-            for column, values in zip(columns, batch.columns):
-                column += values.to_pylist()
-        if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array([fit(*columns, weight).dumps()], pa.binary())], ["model"])
-
-    made = rows.coalesce(8).repartition(1).mapInArrow(run, "model binary").collect()
+        numbered, ids, said, toxic = Numbered(), [], [], []
+        for batch in slices(batches, "text"):
+            ids += batch.column(0).to_pylist()
+            said += [numbered.encode(words(t)) for t in batch.column(1).to_pylist()]
+            toxic += batch.column(2).to_pylist()
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array([fit(ids, said, toxic, numbered, weight).dumps()], pa.binary())], ["model"])
+
+    made = rows.repartition(1).sortWithinPartitions("id", "text").mapInArrow(run, "model binary").collect()
     return Model.loads(made[0].model) if made else Model([], np.zeros(1), np.empty(0, np.int64), np.empty(0), np.zeros(2 + len(TOPS)))
 
 
@@ -188,10 +215,8 @@ def scored(df: DataFrame, model: Model, *, text_col: str = "text", score_col: st
     """``df`` with its rows' toxicity (0 to 1) appended as ``score_col``, which replaces a column of that name.
     Null, empty and wordless texts get the score of no evidence. No shuffle."""
     sent = df.sparkSession.sparkContext.broadcast(model.dumps())
-    held: dict[int, Model] = {}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = held.setdefault(0, None) or Model.loads(sent.value)
+        mine = Model.loads(sent.value)
         for batch in slices(batches, "text"):
             x = np.array([mine.features(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mine.score(x), pa.float64())], ["row", "score"])

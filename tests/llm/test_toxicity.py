@@ -23,9 +23,14 @@ def corpus(n=600, seed=2):
     return rows
 
 
+def ratios(texts, toxic, order=1):
+    numbered = T.Numbered()
+    return T.fit_ratios([numbered.encode(t) for t in texts], toxic, numbered, order)[0]
+
+
 def test_word_ratio_is_kneser_ney():
     texts, y = [["a", "b", "b"], ["a", "c"], ["b", "d"], ["b", "a"]], [0, 0, 1, 1]
-    model = T.fit_ratios(texts, y)
+    model = ratios(texts, y)
     assert model.vocabulary == ["a", "b"]
     counts = {0: {"a": 2, "b": 1, "?": 1}, 1: {"a": 1, "b": 2, "?": 1}}
     shared = {w: counts[0][w] + counts[1][w] + 0.5 for w in "ab?"}
@@ -54,13 +59,13 @@ def test_report(spark):
     assert T.toxicity_report(docs.limit(0), labels).count() == 0
     none = T.toxicity_report(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
-    kept = T.scored(docs, T.fit([1], ["x"], [0]))
+    kept = T.scored(docs, T.train(docs, labels))
     assert kept.columns == ["doc_id", "text", "score"]
 
 
 def test_pairs_add_order_two():
     texts = [["not", "good"], ["good", "not"]] * 10
-    model = T.fit_ratios(texts, [1, 0] * 10, order=2)
+    model = ratios(texts, [1, 0] * 10, order=2)
     model.weights = np.ones(5)
     assert model.features("not good")[1] > model.features("good not")[1]
     again = T.Model.loads(model.dumps())
