@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm.exact_dedup import drop_copies
 from glyphmill.llm.packing import pack
 from glyphmill.llm.queries import table, vocabulary
-from glyphmill.llm.shared import written
+from glyphmill.llm.shared import bounded_batches, written
 from glyphmill.llm.shingle_join import drop_near_copies
 from glyphmill.llm.surrogates import replace_entities
 from glyphmill.llm.toxicity import scored, train
@@ -20,22 +20,26 @@ REJECT_FROM = 0.5
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on the labelled ones among ``docs``, scores below REJECT_FROM."""
+    bounded_batches(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     return scored(docs, model, score_col="toxicity__").where(F.col("toxicity__") < REJECT_FROM).drop("toxicity__")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
+    bounded_batches(spark)
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of five-word shingles at 80 % connect, the document with the least id."""
+    bounded_batches(spark)
     return drop_near_copies(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for the entities in their texts; ``n_chars`` follows the new text."""
+    bounded_batches(spark)
     replaced = replace_entities(docs)
     if "n_chars" not in docs.columns:
         return replaced
@@ -44,6 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
+    bounded_batches(spark)
     return pack(docs, vocabulary())
 
 

@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts vary from a word to megabytes, so Arrow batches of Spark's default of 10,000 rows can take far more
+    memory than a task has; a session that hasn't chosen a size gets 1,000."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder; writers create it."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -27,7 +27,7 @@ from .wordbpe import word_bpe
 
 LENGTH = 4096
 END_ID = 2
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 
 
 class Capacities:
@@ -145,7 +145,7 @@ def write_matrices(df: DataFrame, vocabulary: str, folder: str | None = None, *,
                 ["id", "start", "length", "doc_tokens", "file", "row", "offset"],
             )
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             kind = batch.column(0).type
             keys += batch.column(0).to_pylist()
             new = [x + end for x in bpe.encode_many(batch.column(1).to_pylist())]
@@ -156,6 +156,7 @@ def write_matrices(df: DataFrame, vocabulary: str, folder: str | None = None, *,
                 keys, held, size = [], [], 0
         if held:
             yield flush()
+        bpe.piece_ids.shrink()
 
     read = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).sortWithinPartitions("id", "text")
     made = read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, start long, length long, doc_tokens long, file string, row long, offset long").withColumnRenamed("id", id_col)

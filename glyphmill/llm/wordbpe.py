@@ -46,6 +46,10 @@ class Memo(dict):
         self.put(key, found)
         return found
 
+    def shrink(self) -> None:
+        """Forgets the older generation: a worker that waits for its next task holds less."""
+        self.old = {}
+
     def put(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
