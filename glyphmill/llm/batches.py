@@ -1,14 +1,28 @@
 """Arrow batches in Python workers."""
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
+def trim() -> None:
+    """Gives back what earlier tasks of this worker freed: workers are used again and again, and allocators
+    keep pages otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``most`` bytes of ``column`` (one row at least), so that
     what a worker holds does not follow the number of rows in Spark's batches."""
+    trim()
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
         if not len(values):

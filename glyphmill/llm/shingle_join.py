@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import slices, trim
 from .components import connected
 from .shared import partitions_for, written
 
@@ -40,9 +40,9 @@ SMALL = 4
 FEW = 6
 PIVOTS = 2
 BLOCK = 2048
-FLUSH_SIGNATURES = 1_000_000
-KNOWN_WORDS = 150_000
-OWNED_BYTES = 32 << 20
+FLUSH_SIGNATURES = 600_000
+KNOWN_WORDS = 100_000
+OWNED_BYTES = 16 << 20
 BITS = 1 << 24
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -245,6 +245,7 @@ def candidates(packed: DataFrame) -> DataFrame:
     ``a`` with ``n`` shingles and class ``key``. Expects all rows of a part in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         names = ["kind", "a", "b", "n", "key"]
         for batch in batches:
