@@ -108,7 +108,7 @@ def drop_reasons(spark, sf_dir):
 
 def require_chinese(spark, sf_dir):
     some = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("中文"), "text")).otherwise(F.col("text"))
-    reason = segment.drop_reason(native.strip(F.substring(some, 1, 100)), CleanOptions(require_chinese=True))
+    reason = segment.drop_reason(native.strip(some), CleanOptions(require_chinese=True))
     return documents(spark, sf_dir).select("doc_id", F.coalesce(reason, F.lit("passed")).alias("reason"))
 
 

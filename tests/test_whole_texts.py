@@ -49,3 +49,12 @@ def test_profiles_of_whole_texts(spark, tmp_path):
     assert list(map(tuple, total)) == [(7, 5, 3, 1, 3)] == by_sql("batch_summary", folder, total[0].__fields__, whole(80))
     rates = {r.doc_id: (r.oov_rate, r.note) for r in rows(spark, "lexicon_rates", folder)}
     assert rates[2] == (round(27 / 87, 4), "含未登錄字(xyzxy)") and rates[1] == (0.0, "詞庫全覆蓋")
+
+
+def test_chinese_and_length_of_whole_texts(spark, tmp_path):
+    texts = ["a" * 130, "b" * 130, "c" * 101 + "中", "中文", "d" * 50, None, " " * 110 + "中" * 6, "e" * 20]
+    folder = tables(tmp_path, list(enumerate(texts)))
+    got = rows(spark, "require_chinese", folder)
+    assert [r.reason for r in sorted(got)] == ["long", "long", "passed", "short", "non_chinese", "short", "passed", "passed"]
+    changes = ("substr(CASE", "(CASE"), ("END, 1, 100)", "END)"), ("WHEN NOT", "WHEN length(s) > 120 THEN 'long' WHEN NOT")
+    assert sorted(map(tuple, got)) == by_sql("require_chinese", folder, got[0].__fields__, *changes)
