@@ -234,7 +234,8 @@ def scan_files(spark, sf_dir):
 
 
 def align_cards(spark, sf_dir):
-    card = F.concat(F.rpad(F.regexp_replace("text", r"[^A-Za-z ]|\n", " "), 200, "a"), F.lit("\n\nDiscourse "), F.col("doc_id").cast("string"), F.lit("\n\n一二三四五六七八九十百千,好\n\n大法會 卷1"))
+    block = F.concat(F.regexp_replace("text", r"[^A-Za-z ]|\n", " "), F.repeat(F.lit("a"), F.greatest(F.lit(0), 200 - F.length("text"))))
+    card = F.concat(block, F.lit("\n\nDiscourse "), F.col("doc_id").cast("string"), F.lit("\n\n一二三四五六七八九十百千,好\n\n大法會 卷1"))
     cards = documents(spark, sf_dir).select(F.format_string("d%d.txt", "doc_id").alias("file_name"), card.alias("text"))
     return align.align_cards(cards)
 

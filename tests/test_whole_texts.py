@@ -58,3 +58,11 @@ def test_chinese_and_length_of_whole_texts(spark, tmp_path):
     assert [r.reason for r in sorted(got)] == ["long", "long", "passed", "short", "non_chinese", "short", "passed", "passed"]
     changes = ("substr(CASE", "(CASE"), ("END, 1, 100)", "END)"), ("WHEN NOT", "WHEN length(s) > 120 THEN 'long' WHEN NOT")
     assert sorted(map(tuple, got)) == by_sql("require_chinese", folder, got[0].__fields__, *changes)
+
+
+def test_cards_of_whole_texts(spark, tmp_path):
+    long = " ".join(f"word{chr(97 + k % 26)}" for k in range(300)) + " end"
+    folder = tables(tmp_path, [(1, long), (2, "short one"), (3, None), (4, "ab" * 100)])
+    got = {r.source_file: r.en_text for r in rows(spark, "align_cards", folder)}
+    # short texts are padded to 200 letters, of which cleaning leaves three in a row
+    assert got == {"d1.txt": long, "d2.txt": "short oneaaa", "d3.txt": "aaa", "d4.txt": "ab" * 100}
