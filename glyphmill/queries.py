@@ -51,7 +51,7 @@ def strip_markdown(spark, sf_dir):
 
 
 def strip_social(spark, sf_dir):
-    tagged = F.concat(F.lit("#tag one @me.x two #end, "), "lang", F.lit(" #"), "lang")
+    tagged = F.concat(F.lit("#tag one @me.x two #end, "), "text", F.lit(" #"), "lang")
     return documents(spark, sf_dir).select("doc_id", native.strip_social(tagged).alias("text"))
 
 

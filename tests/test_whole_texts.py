@@ -66,3 +66,12 @@ def test_cards_of_whole_texts(spark, tmp_path):
     got = {r.source_file: r.en_text for r in rows(spark, "align_cards", folder)}
     # short texts are padded to 200 letters, of which cleaning leaves three in a row
     assert got == {"d1.txt": long, "d2.txt": "short oneaaa", "d3.txt": "aaa", "d4.txt": "ab" * 100}
+
+
+def test_social_tags_of_whole_texts(spark, tmp_path):
+    r = random.Random(5)
+    texts = ["".join(r.choice("##@@aé中1_.- \n,") for _ in range(r.randint(0, 200))) for _ in range(300)] + [None, "plain " * 500 + "#late @me.x end"]
+    folder = tables(tmp_path, list(enumerate(texts)))
+    for row in rows(spark, "strip_social", folder):
+        tagged = "#tag one @me.x two #end, " + (texts[row.doc_id] or "") + " #en"
+        assert row.text == re.sub(r"@[\w.-]+(?:\s|\Z)", "", re.sub(r"#[\w一-鿿]+(?:\s|\Z)", "", tagged))
