@@ -251,8 +251,8 @@ def pair_columns(spark, sf_dir):
 
 
 def alpaca_export(spark, sf_dir):
-    short = F.regexp_replace(F.substring("text", 1, 60), r'[\x00-\x1f"\\/]', " ")
-    return tsv.to_alpaca(table(spark, sf_dir, "benchmark").where("text is not null"), F.lit("continue"), F.concat(F.lit(""), short), F.lit("ok"))
+    safe = F.regexp_replace(F.coalesce("text", F.lit("")), r'[\x00-\x1f"\\/]', " ")
+    return tsv.to_alpaca(table(spark, sf_dir, "benchmark"), F.lit("continue"), safe, F.lit("ok"))
 
 
 def sharegpt_export(spark, sf_dir):

@@ -3,6 +3,7 @@
 Some are compared with their SQL, in which this file reads the whole text wherever the SQL cuts it.
 """
 
+import json
 import random
 import re
 
@@ -75,3 +76,11 @@ def test_social_tags_of_whole_texts(spark, tmp_path):
     for row in rows(spark, "strip_social", folder):
         tagged = "#tag one @me.x two #end, " + (texts[row.doc_id] or "") + " #en"
         assert row.text == re.sub(r"@[\w.-]+(?:\s|\Z)", "", re.sub(r"#[\w一-鿿]+(?:\s|\Z)", "", tagged))
+
+
+def test_alpaca_lines_of_whole_texts(spark, tmp_path):
+    texts = ["word " * 100 + 'a"b', None, "", "short"]
+    folder = tables(tmp_path, [], texts)
+    got = rows(spark, "alpaca_export", folder)
+    assert sorted(json.loads(r.value)["input"] for r in got) == sorted(["word " * 100 + "a b", "", "", "short"])
+    assert sorted(map(tuple, got)) == by_sql("alpaca_export", folder, ["value"], ("substr(text, 1, 60)", "coalesce(text, '')"), (" WHERE text IS NOT NULL", ""))
