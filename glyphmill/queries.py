@@ -135,7 +135,7 @@ def registry_known(spark, sf_dir):
 
 
 def file_names(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", native.file_name(F.substring("text", 1, 60)).alias("name"))
+    return documents(spark, sf_dir).select("doc_id", native.file_name(F.col("text")).alias("name"))
 
 
 def lexicon(spark, sf_dir) -> profile.LexiconAdapter:
@@ -246,7 +246,7 @@ def tsv_columns(spark, sf_dir):
 
 
 def pair_columns(spark, sf_dir):
-    pairs = documents(spark, sf_dir).select(F.concat(F.lit("pair_"), F.col("doc_id").cast("string")).alias("pair_id"), F.lit("f.txt").alias("source_file"), F.substring("text", 1, 50).alias("en_text"), F.lit("中\t文").alias("zh_text"), F.lit("").alias("it_text"), F.lit("c").alias("citation_en"), F.lit(None).cast("string").alias("citation_zh"))
+    pairs = documents(spark, sf_dir).select(F.concat(F.lit("pair_"), F.col("doc_id").cast("string")).alias("pair_id"), F.lit("f.txt").alias("source_file"), F.col("text").alias("en_text"), F.lit("中\t文").alias("zh_text"), F.lit("").alias("it_text"), F.lit("c").alias("citation_en"), F.lit(None).cast("string").alias("citation_zh"))
     return tsv.pair_columns(pairs)
 
 

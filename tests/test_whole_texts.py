@@ -84,3 +84,14 @@ def test_alpaca_lines_of_whole_texts(spark, tmp_path):
     got = rows(spark, "alpaca_export", folder)
     assert sorted(json.loads(r.value)["input"] for r in got) == sorted(["word " * 100 + "a b", "", "", "short"])
     assert sorted(map(tuple, got)) == by_sql("alpaca_export", folder, ["value"], ("substr(text, 1, 60)", "coalesce(text, '')"), (" WHERE text IS NOT NULL", ""))
+
+
+def test_pairs_and_names_of_whole_texts(spark, tmp_path):
+    texts = ["one\ttwo " * 50, None, "", "short", "*" * 30 + "n" * 60, " " * 70 + "late name", '?"' * 40 + "x"]
+    folder = tables(tmp_path, list(enumerate(texts)))
+    pairs = rows(spark, "pair_columns", folder)
+    assert {r.PAIR_ID: (r.EN_TEXT, r.EN_CHAR_LEN) for r in pairs}["pair_0"] == ("one two " * 50, "400")
+    assert sorted(map(tuple, pairs)) == by_sql("pair_columns", folder, pairs[0].__fields__, whole(50))
+    names = rows(spark, "file_names", folder)
+    assert [r.name for r in sorted(names)][3:] == ["short", "n" * 40, "late_name", "x"]
+    assert sorted(map(tuple, names)) == by_sql("file_names", folder, names[0].__fields__, whole(60))
