@@ -19,8 +19,9 @@ classes gives all its pairs; of a larger one each member is paired with the firs
 that verified links don't make one component yet is compared with its most central member (that of the most
 and largest buckets), twice; what is still apart goes through an exact filter in blocks: a class's parity
 sketch is linear, so the bits in which two sketches differ are at most the elements in which the sets do. So
-no link is lost, and a group of many near copies costs about its size in rows. Every pair is verified on the
-whole sets.
+no link between components is lost, and a group of many near copies costs about its size in rows. Every pair is
+verified on the whole sets. Components are the only result: pairs that already share one are skipped, so the
+links inside a component are neither all found nor listed nor counted.
 """
 
 import struct
