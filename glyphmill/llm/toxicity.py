@@ -10,7 +10,8 @@ words, since a few words make a long text toxic. A logistic fit on texts that th
 these four means into a score.
 
 The models are fitted on a bounded sample of labelled rows (MOST_PER_CLASS of each class, those of least
-hash), in one task; everything else covers all rows. The fitted model is a few megabytes by construction.
+hash), in one task; everything else covers all rows. The fitted model holds every word that occurs twice or more in
+this sample (order 2: also every pair that more than PAIR_DISCOUNT texts of a class hold), so the sample bounds it.
 """
 
 import io
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 from .batches import slices
 
 MOST_PER_CLASS = 8000
-MOST_WORDS = 200_000
-MOST_PAIRS = 500_000
 DISCOUNT = 0.75
 PAIR_DISCOUNT = 4.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -104,8 +103,6 @@ def fit_ratios(texts: list[np.ndarray], toxic: list[int], numbered: Numbered, or
     for t in texts:
         np.add.at(total, t, 1)
     often = np.flatnonzero(total > 1)
-    if len(often) > MOST_WORDS:
-        often = often[np.lexsort((often, -total[often]))[:MOST_WORDS]]
     names = list(numbered.ids)
     often = np.array(sorted(often.tolist(), key=names.__getitem__), dtype=np.int64)
     vocabulary = [names[k] for k in often.tolist()]
@@ -146,9 +143,6 @@ def fit_ratios(texts: list[np.ndarray], toxic: list[int], numbered: Numbered, or
         rest = 1 - kept[v] / np.maximum(whole[v], 1)
         logs.append(np.log(discounted(mine, PAIR_DISCOUNT) / np.maximum(whole[v], 1) + rest * lower[c][w]))
     ratio = logs[1] - logs[0]
-    if len(often) > MOST_PAIRS:
-        strongest = np.sort(np.argpartition(-np.abs(ratio - word_ratio[often % (n + 1)]), MOST_PAIRS)[:MOST_PAIRS])
-        often, ratio = often[strongest], ratio[strongest]
     return Model(vocabulary, word_ratio, often, ratio), place
 
 
@@ -166,14 +160,14 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b
 
 
-def fit(ids: list, said: list[np.ndarray], toxic: list[int], numbered: Numbered, class_weight: tuple[float, float] = (1.0, 1.0)) -> Model:
+def fit(ids: list, said: list[np.ndarray], toxic: list[int], numbered: Numbered, class_weight: tuple[float, float] = (1.0, 1.0), order: int = 1) -> Model:
     """Models and logistic weights. The weights are fitted on each fold's features from models of the others."""
     y, fold = np.array(toxic, dtype=np.int64), np.array([zlib.crc32(f"fold {k}".encode()) % FOLDS for k in ids])
-    model, _ = fit_ratios(said, toxic, numbered)
+    model, _ = fit_ratios(said, toxic, numbered, order)
     x = np.zeros((len(ids), 1 + len(TOPS)))
     for f in range(FOLDS):
         others = np.flatnonzero(fold != f).tolist()
-        other, place = fit_ratios([said[k] for k in others], y[others].tolist(), numbered)
+        other, place = fit_ratios([said[k] for k in others], y[others].tolist(), numbered, order)
         for k in np.flatnonzero(fold == f).tolist():
             x[k] = other.features_of(place[said[k]])
     model.weights = logistic(x, y, np.array(class_weight)[y]) if len(y) else np.zeros(x.shape[1] + 1)
@@ -184,8 +178,8 @@ def crc_of(c):
     return F.crc32(F.encode(c.cast("string"), "UTF-8"))
 
 
-def train(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from ``labels`` (id, ``toxic``) and the texts of those rows. Rows without id, label or text in
+def train(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST_PER_CLASS, order: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from ``labels`` (id, ``toxic``) and the texts of those rows; ``order`` 2 adds pairs of words. Rows without id, label or text in
     ``documents`` don't count; without any the model scores every text 0.5."""
     spark = documents.sparkSession
     usable = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["id"])
@@ -205,7 +199,7 @@ def train(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST
             said += [numbered.encode(words(t)) for t in batch.column(1).to_pylist()]
             toxic += batch.column(2).to_pylist()
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([fit(ids, said, toxic, numbered, weight).dumps()], pa.binary())], ["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([fit(ids, said, toxic, numbered, weight, order).dumps()], pa.binary())], ["model"])
 
     made = rows.repartition(1).sortWithinPartitions("id", "text").mapInArrow(run, "model binary").collect()
     return Model.loads(made[0].model) if made else Model([], np.zeros(1), np.empty(0, np.int64), np.empty(0), np.zeros(2 + len(TOPS)))
@@ -227,9 +221,9 @@ def scored(df: DataFrame, model: Model, *, text_col: str = "text", score_col: st
     return out.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(columns)), F.col("score").alias(score_col))
 
 
-def toxicity_report(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST_PER_CLASS) -> DataFrame:
+def toxicity_report(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST_PER_CLASS, order: int = 1) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` (score of 0.5 or more) for each row of ``documents``. Labels
     of held-out rows (crc32 of the id as text divisible by 5) aren't read by the fit."""
-    model = train(documents, labels.where(crc_of(F.col("doc_id")) % 5 != 0), most_per_class=most_per_class)
+    model = train(documents, labels.where(crc_of(F.col("doc_id")) % 5 != 0), most_per_class=most_per_class, order=order)
     out = scored(documents.select("doc_id", "text"), model)
     return out.select("doc_id", (F.coalesce(crc_of(F.col("doc_id")), F.lit(1)) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -1,0 +1,23 @@
+"""Toxicity: no repeated word is left out of the model, and callers can choose the order."""
+
+import numpy as np
+
+from glyphmill.llm import toxicity as T
+
+
+def test_every_repeated_word_is_kept():
+    common = [f"w{k}" for k in range(200_100)]
+    numbered = T.Numbered()
+    texts = [numbered.encode(common * 2)] * 2 + [numbered.encode(["foul"]), numbered.encode(["foul"])]
+    model, place = T.fit_ratios(texts, [0, 0, 1, 1], numbered)
+    assert len(model.vocabulary) == 200_101 and model.word_ratio[model.ids["foul"]] > 0
+    assert (place[texts[2]] == model.ids["foul"]).all()
+
+
+def test_order_reaches_the_model(spark):
+    rows = [(k, "not good" if k % 2 else "good not") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    assert len(T.train(docs, labels).pairs) == 0 and len(T.train(docs, labels, order=2).pairs) == 2
+    one, two = ({r.doc_id: r.score for r in T.toxicity_report(docs, labels, order=k).collect()} for k in (1, 2))
+    assert np.isclose(one[0], one[1]) and two[1] > 0.5 > two[0]
