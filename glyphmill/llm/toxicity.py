@@ -1,74 +1,155 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Two models, of toxic and of ordinary texts, share their backoff: a count less a discount is backed by one
-distribution counted over both classes, so a rare expression speaks through the shared counts alone. All
-counts are numbers of texts, as Kneser-Ney counts contexts, so a text that repeats itself counts once. Order
-2 adds pairs of words, discounted wholly if few texts hold them; order 1 is the default, as pairs that
-ordinary words form by chance lowered held-out accuracy. The log-likelihood ratio of the two models, word by
-word, is compared after normalisation by length: over the whole text, and over its 1, 3 and 8 most toxic
-words, since a few words make a long text toxic. A logistic fit on texts that the models had not seen turns
-these four means into a score.
-
-The models are fitted on a bounded sample of labelled rows (MOST_PER_CLASS of each class, those of least
-hash), in one task; everything else covers all rows. The fitted model holds every word that occurs twice or more in
-this sample (order 2: also every pair that more than PAIR_DISCOUNT texts of a class hold), so the sample bounds it.
+"""Toxicity by class-conditional Kneser-Ney models of word pairs.
+
+Two models, of toxic and of ordinary texts, give each word a likelihood after the word before it. All counts are
+numbers of texts, so a text that repeats itself counts once:
+
+* a pair (v, w) that n texts of a class hold gives max(n - PAIR_DISCOUNT, 0) of v's mass to w; what is left of v's
+  mass backs off to the class's distribution of single words;
+* that distribution counts continuations, i.e. the different words before w in the class, less a discount that
+  the counts of counts give (n1 / (n1 + 2 n2)), and backs off to
+* one distribution of continuations counted over both classes together, which backs off to equal shares. So a
+  rare expression speaks through the shared counts alone.
+
+The two log-likelihoods of a passage, each normalised by the passage's length, are compared: for the whole text,
+for its most toxic passages of each length in PASSAGES under the pair model, and for its most toxic word
+under the class distributions of single words, as a few words make a long text toxic. A logistic fit
+turns these comparisons into a score. It is fitted on the labelled texts themselves, with each text's own evidence
+taken out of the counts before it is compared.
+
+The counts are DataFrame aggregations over a bounded sample of labelled rows (MOST_PER_CLASS of each class, those
+of least hash); everything else covers all rows. The model holds every word of the sample and every pair that
+more than PAIR_DISCOUNT texts of a class hold (others have no mass of their own), so the sample bounds it.
 """
 
 import io
 import re
-import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
+from .shared import written
 
 MOST_PER_CLASS = 8000
-DISCOUNT = 0.75
-PAIR_DISCOUNT = 4.0
+SHARED_DISCOUNT = 0.75
+PAIR_DISCOUNT = 2.0
+LEAST_DISCOUNT = 0.05
 WORD = re.compile(r"[^\W\d_]+")
-TOPS = (1, 3, 8)
-FOLDS = 8
+PASSAGES = (2, 8)
+FEATURES = 2 + len(PASSAGES)
+BEGIN = 0  # stands before a text's first word
+KNOWN_WORDS = 100_000
+LONG = 1 << 20
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words(text: str | None) -> Iterable[str]:
+    lowered = (text or "").lower()
+    return WORD.findall(lowered) if len(lowered) < LONG else (m.group() for m in WORD.finditer(lowered))
 
 
-def discounted(counts: np.ndarray, by: float = DISCOUNT) -> np.ndarray:
-    return np.maximum(counts - by, 0.0)
+class Hasher:
+    """Words as signed 64-bit hashes."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        known = self.known
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+
+        def one(w: str) -> int:
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) or 1
+            return h
+
+        return np.fromiter(map(one, words(text)), dtype=np.uint64).view(np.int64)
+
+
+def before(w: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.array([BEGIN], dtype=np.int64), w[:-1]])
+
+
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64 bits for a pair of word hashes."""
+    with np.errstate(over="ignore"):
+        x = v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def found_at(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Each key's place in a sorted table; the table's length where it isn't there."""
+    if not len(table):
+        return np.zeros(len(keys), dtype=np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, len(table))
 
 
 class Model:
-    """Log-likelihood ratios of words and word pairs, and the weights of the logistic fit."""
-
-    def __init__(self, vocabulary: list[str], word_ratio: np.ndarray, pairs: np.ndarray, pair_ratio: np.ndarray, weights: np.ndarray | None = None):
-        self.ids = {w: k + 1 for k, w in enumerate(vocabulary)}
-        self.vocabulary, self.word_ratio, self.pairs, self.pair_ratio, self.weights = vocabulary, word_ratio, pairs, pair_ratio, weights
-
-    def features(self, text: str | None) -> np.ndarray:
-        """The mean ratio of the whole text and of its most toxic words; all 0 without words."""
-        known, get = words(text), self.ids.get
-        return self.features_of(np.fromiter((get(w, 0) for w in known), dtype=np.int64, count=len(known)))
-
-    def features_of(self, ids: np.ndarray) -> np.ndarray:
-        """The same for a text's words as numbers in the vocabulary (0: unknown)."""
-        if not len(ids):
-            return np.zeros(1 + len(TOPS))
-        ratio = self.word_ratio[ids]
-        if len(self.pairs) and len(ids) > 1:
-            key = ids[:-1].astype(np.int64) * (len(self.word_ratio) + 1) + ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            ratio[1:][hit] = self.pair_ratio[at[hit]]
-        most = TOPS[-1]
-        top = np.sort(np.partition(ratio, len(ratio) - most)[-most:] if len(ratio) > most else ratio)[::-1]
-        top = np.pad(np.maximum(top, 0.0), (0, max(0, most - len(top))))
-        return np.array([ratio.mean(), *(top[:k].mean() for k in TOPS)])
+    """Counts of both classes, each table with a last row for what it lacks, and the weights of the logistic fit.
+
+    ``words``: sorted hashes; ``cont``, ``total``, ``kept`` (2 rows): continuations of a word, and the count and the
+    discounted count of the pairs that it begins; ``both``: continuations in the two classes together; ``pairs``: sorted
+    keys of the pairs with mass of their own, and ``count`` (2 rows) of each.
+    """
+
+    PARTS = ("words", "cont", "total", "kept", "both", "pairs", "count", "sums", "discounts", "weights")
+
+    def __init__(self, **parts: np.ndarray):
+        self.parts = parts
+        self.words, self.pairs, self.weights = parts["words"], parts["pairs"], parts["weights"]
+        last = lambda x: np.concatenate([x, np.zeros((*x.shape[:-1], 1), dtype=x.dtype)], axis=-1)
+        self.cont, self.total, self.kept, self.both, self.count = (last(parts[p]) for p in ("cont", "total", "kept", "both", "count"))
+        # sums: for each class and for both together, all continuations and the words that have any
+        self.sums, self.discounts = parts["sums"], parts["discounts"]
+        n, types = self.sums[2]
+        uniform = 1.0 / (len(self.words) + 1)
+        self.shared = (np.maximum(self.both - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * types * uniform) / n if n else np.full(len(self.words) + 1, uniform)
+
+    @classmethod
+    def empty(cls) -> "Model":
+        none, two = np.empty(0, np.int64), np.empty((2, 0), np.float32)
+        return cls(words=none, cont=two, total=two, kept=two, both=np.empty(0, np.float32), pairs=none, count=two, sums=np.zeros((3, 2)), discounts=np.zeros(2), weights=np.zeros(1 + FEATURES))
+
+    def likelihoods(self, w: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood ratios (toxic over ordinary) of each word of a text alone and after the word before it.
+        With ``own``, the text's class, the text's own pairs are taken out of that class's counts: exactly for pairs, and
+        for continuations as if no other text held these pairs, which only matters for rare words."""
+        v = before(w)
+        at, context, pair = found_at(self.words, w), found_at(self.words, v), found_at(self.pairs, pair_key(v, w))
+        if own is not None:
+            _, first = np.unique(pair_key(v, w), return_index=True)
+            mine_w, mine_v = np.bincount(at[first], minlength=len(self.words) + 1), np.bincount(context[first], minlength=len(self.words) + 1)
+            had = self.count[own][pair[first]]
+            lost = np.bincount(context[first], weights=np.maximum(had - PAIR_DISCOUNT, 0) - np.maximum(had - 1 - PAIR_DISCOUNT, 0), minlength=len(self.words) + 1)
+        alone, after = [], []
+        for c in (0, 1):
+            cont, total, kept, count, n, types = self.cont[c][at], self.total[c][context], self.kept[c][context], self.count[c][pair], *self.sums[c]
+            if c == own:
+                cont, total, kept, count, n = np.maximum(cont - mine_w[at], 0), np.maximum(total - mine_v[context], 0), np.maximum(kept - lost[context], 0), count - 1, max(n - len(first), 0)
+            d = self.discounts[c]
+            single = (np.maximum(cont - d, 0) + d * types * self.shared[at]) / n if n else self.shared[at]
+            mass = np.maximum(total, 1e-9)
+            pairs = np.where(total > 0, (np.maximum(count - PAIR_DISCOUNT, 0) + np.maximum(total - kept, 0) * single) / mass, single)
+            alone.append(np.log(np.maximum(single, 1e-300)))
+            after.append(np.log(np.maximum(pairs, 1e-300)))
+        return alone[1] - alone[0], after[1] - after[0]
+
+    def features(self, w: np.ndarray, own: int | None = None) -> np.ndarray:
+        """Length-normalised comparisons of a text's words (hashes): see the module's text. A
+        text shorter than a passage counts as one with neutral words added. All 0 without words."""
+        if not len(w):
+            return np.zeros(FEATURES)
+        alone, after = self.likelihoods(w, own)
+        sums = np.concatenate([[0.0], np.cumsum(after)])
+        best = [float((sums[k:] - sums[:-k]).max() / k) if len(w) >= k else float(after.sum() / k) for k in PASSAGES]
+        return np.array([after.mean(), *best, alone.max()])
 
     def score(self, features: np.ndarray) -> np.ndarray:
         z = features @ self.weights[1:] + self.weights[0]
@@ -76,74 +157,58 @@ class Model:
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, vocabulary=np.frombuffer("\n".join(self.vocabulary).encode(), dtype=np.uint8), word_ratio=self.word_ratio, pairs=self.pairs, pair_ratio=self.pair_ratio, weights=self.weights)
+        np.savez(out, **(self.parts | {"weights": self.weights}))
         return out.getvalue()
 
     @classmethod
     def loads(cls, data: bytes) -> "Model":
         x = np.load(io.BytesIO(data))
-        said = x["vocabulary"].tobytes().decode()
-        return cls(said.split("\n") if said else [], x["word_ratio"], x["pairs"], x["pair_ratio"], x["weights"])
+        return cls(**{p: x[p] for p in cls.PARTS})
 
 
-class Numbered:
-    """Words as numbers in the order of their first appearance, so that a text is held as four bytes a word."""
+def counted(rows: DataFrame) -> DataFrame:
+    """``v``, ``w``, ``n0``, ``n1``: in how many rows (``text``, ``toxic``) of each class the word w follows v."""
 
-    def __init__(self):
-        self.ids: defaultdict[str, int] = defaultdict()
-        self.ids.default_factory = self.ids.__len__
-
-    def encode(self, said: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.ids.__getitem__, said), dtype=np.int32, count=len(said))
-
-
-def fit_ratios(texts: list[np.ndarray], toxic: list[int], numbered: Numbered, order: int = 1) -> tuple[Model, np.ndarray]:
-    """The two Kneser-Ney models over numbered texts, as ratios, and each number's place in the vocabulary."""
-    total = np.zeros(len(numbered.ids), dtype=np.int64)
-    for t in texts:
-        np.add.at(total, t, 1)
-    often = np.flatnonzero(total > 1)
-    names = list(numbered.ids)
-    often = np.array(sorted(often.tolist(), key=names.__getitem__), dtype=np.int64)
-    vocabulary = [names[k] for k in often.tolist()]
-    place = np.zeros(len(names), dtype=np.int64)
-    place[often] = np.arange(1, len(often) + 1)
-    n = len(vocabulary) + 1
-    counts, pair_keys, pair_counts = [], [], []
-    for c in (0, 1):
-        count, found = np.zeros(n), []
-        for t, y in zip(texts, toxic):
-            if y == c and len(t):
-                s = place[t]
-                count[np.unique(s)] += 1
-                if order > 1:
-                    found.append(np.unique(s[:-1] * (n + 1) + s[1:]))
-        counts.append(count)
-        keys, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
-        pair_keys.append(keys)
-        pair_counts.append(times.astype(float))
-    shared = counts[0] + counts[1] + 0.5
-    shared /= shared.sum()
-    lower = []
-    for c in (0, 1):
-        whole = max(counts[c].sum(), 1.0)
-        kept = discounted(counts[c])
-        lower.append(kept / whole + (1 - kept.sum() / whole) * shared)
-    word_ratio = np.log(lower[1]) - np.log(lower[0])
-    word_ratio[0] = 0.0  # an unknown word is told by the shared counts alone
-    seen = np.unique(np.concatenate([k[t > PAIR_DISCOUNT] for k, t in zip(pair_keys, pair_counts)]))
-    often = seen[(seen // (n + 1) > 0) & (seen % (n + 1) > 0)]
-    logs = []
-    for c in (0, 1):
-        v, w = often // (n + 1), often % (n + 1)
-        at = np.minimum(np.searchsorted(pair_keys[c], often), max(len(pair_keys[c]) - 1, 0))
-        mine = np.where(pair_keys[c][at] == often, pair_counts[c][at], 0.0) if len(pair_keys[c]) else np.zeros(len(often))
-        kept = np.bincount(pair_keys[c] // (n + 1), weights=discounted(pair_counts[c], PAIR_DISCOUNT), minlength=n)
-        whole = np.bincount(pair_keys[c] // (n + 1), weights=pair_counts[c], minlength=n)
-        rest = 1 - kept[v] / np.maximum(whole[v], 1)
-        logs.append(np.log(discounted(mine, PAIR_DISCOUNT) / np.maximum(whole[v], 1) + rest * lower[c][w]))
-    ratio = logs[1] - logs[0]
-    return Model(vocabulary, word_ratio, often, ratio), place
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in slices(batches, "text", 1 << 20):
+            parts = []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = hasher.hashes(text)
+                if len(w):
+                    both = np.unique(np.stack([before(w), w]), axis=1)
+                    parts.append(np.vstack([both, np.full((1, both.shape[1]), toxic, dtype=np.int64)]))
+            if parts:
+                v, w, c = np.concatenate(parts, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array((c == 0).astype(np.int32)), pa.array((c == 1).astype(np.int32))], ["v", "w", "n0", "n1"])
+
+    made = rows.select("text", "toxic").mapInArrow(run, "v long, w long, n0 int, n1 int")
+    return made.groupBy("v", "w").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1"))
+
+
+def fit_counts(rows: DataFrame) -> Model:
+    """The two models of ``rows`` (``text``, ``toxic``), without weights."""
+    pairs = written(counted(rows), "toxicity-pairs")
+    kept = lambda n: F.greatest(F.col(n) - F.lit(PAIR_DISCOUNT), F.lit(0.0))
+    ends = pairs.groupBy(F.col("w").alias("h")).agg(F.count_if(F.col("n0") > 0).alias("cont0"), F.count_if(F.col("n1") > 0).alias("cont1"), F.count("*").alias("both"))
+    begins = pairs.groupBy(F.col("v").alias("h")).agg(F.sum("n0").alias("total0"), F.sum("n1").alias("total1"), F.sum(kept("n0")).alias("kept0"), F.sum(kept("n1")).alias("kept1"))
+    table = ends.join(begins, "h", "full").fillna(0).toArrow()  # a row for each word of the sample
+    often = pairs.where((F.col("n0") > PAIR_DISCOUNT) | (F.col("n1") > PAIR_DISCOUNT)).toArrow()
+    column = lambda t, name: t.column(name).to_numpy().astype(np.float64)
+    if not table.num_rows:
+        return Model.empty()
+    order = np.argsort(table.column("h").to_numpy())
+    words_, cont = table.column("h").to_numpy()[order], np.stack([column(table, f"cont{c}")[order] for c in (0, 1)])
+    both = column(table, "both")[order]
+    keys = pair_key(often.column("v").to_numpy(), often.column("w").to_numpy())
+    by_key = np.argsort(keys)
+    ones, twos = ((cont == k).sum(axis=1) for k in (1, 2))
+    two = lambda name: np.stack([column(table, f"{name}{c}")[order] for c in (0, 1)]).astype(np.float32)
+    return Model(
+        words=words_, cont=cont.astype(np.float32), total=two("total"), kept=two("kept"), both=both.astype(np.float32), pairs=keys[by_key],
+        count=np.stack([column(often, f"n{c}")[by_key] for c in (0, 1)]).astype(np.float32),
+        sums=np.stack([[x.sum(), (x > 0).sum()] for x in (*cont, both)]).astype(np.float64), discounts=np.clip(ones / np.maximum(ones + 2 * twos, 1), LEAST_DISCOUNT, 1 - LEAST_DISCOUNT), weights=np.zeros(1 + FEATURES),
+    )
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -160,59 +225,61 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b
 
 
-def fit(ids: list, said: list[np.ndarray], toxic: list[int], numbered: Numbered, class_weight: tuple[float, float] = (1.0, 1.0), order: int = 1) -> Model:
-    """Models and logistic weights. The weights are fitted on each fold's features from models of the others."""
-    y, fold = np.array(toxic, dtype=np.int64), np.array([zlib.crc32(f"fold {k}".encode()) % FOLDS for k in ids])
-    model, _ = fit_ratios(said, toxic, numbered, order)
-    x = np.zeros((len(ids), 1 + len(TOPS)))
-    for f in range(FOLDS):
-        others = np.flatnonzero(fold != f).tolist()
-        other, place = fit_ratios([said[k] for k in others], y[others].tolist(), numbered, order)
-        for k in np.flatnonzero(fold == f).tolist():
-            x[k] = other.features_of(place[said[k]])
-    model.weights = logistic(x, y, np.array(class_weight)[y]) if len(y) else np.zeros(x.shape[1] + 1)
-    return model
+def compared(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Features of labelled rows, their own evidence taken out, and their classes, in a defined order."""
+    sent = rows.sparkSession.sparkContext.broadcast(model.dumps())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, hasher = Model.loads(sent.value), Hasher()
+        for batch in slices(batches, "text", 1 << 20):
+            toxic = batch.column(1).to_pylist()
+            x = [mine.features(hasher.hashes(t), c).tolist() for t, c in zip(batch.column(0).to_pylist(), toxic)]
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+
+    got = sorted((r.toxic, r.x) for r in rows.select("text", "toxic").mapInArrow(run, "toxic int, x array<double>").collect())
+    sent.unpersist()
+    return np.array([x for _, x in got]).reshape(-1, FEATURES), np.array([c for c, _ in got], dtype=np.int64)
 
 
 def crc_of(c):
     return F.crc32(F.encode(c.cast("string"), "UTF-8"))
 
 
-def train(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST_PER_CLASS, order: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from ``labels`` (id, ``toxic``) and the texts of those rows; ``order`` 2 adds pairs of words. Rows without id, label or text in
-    ``documents`` don't count; without any the model scores every text 0.5."""
+def train(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from ``labels`` (id, ``toxic``) and the texts of those rows.
+
+    Rows without id, label (0 or 1) or document don't count; an id with both labels is toxic; null texts count as empty;
+    rows of ``documents`` that share an id each count. Other columns are not read, whatever their names. Without any
+    usable row the model scores every text 0.5. At most ``most_per_class`` labelled ids of each class, those of least
+    hash, are used; more of a class weigh as much as they are. The order of rows and partitions doesn't matter.
+    """
     spark = documents.sparkSession
-    usable = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["id"])
+    usable = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     parts = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(most_per_class) for c in (0, 1)]
     sample = parts[0].unionByName(parts[1]).collect()  # at most twice most_per_class ids and labels
-    weight = tuple(sizes.get(c, 0) / max(1, sum(r.toxic == c for r in sample)) for c in (0, 1))
     if not sample:
-        return Model([], np.zeros(1), np.empty(0, np.int64), np.empty(0), np.zeros(2 + len(TOPS)))
+        return Model.empty()
+    weight = np.array([sizes.get(c, 0) / max(1, sum(r.toxic == c for r in sample)) for c in (0, 1)])
     chosen = F.broadcast(spark.createDataFrame([(r.id, r.toxic) for r in sample], "id long, toxic int"))
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("id", "text", "toxic")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered, ids, said, toxic = Numbered(), [], [], []
-        for batch in slices(batches, "text"):
-            ids += batch.column(0).to_pylist()
-            said += [numbered.encode(words(t)) for t in batch.column(1).to_pylist()]
-            toxic += batch.column(2).to_pylist()
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([fit(ids, said, toxic, numbered, weight, order).dumps()], pa.binary())], ["model"])
-
-    made = rows.repartition(1).sortWithinPartitions("id", "text").mapInArrow(run, "model binary").collect()
-    return Model.loads(made[0].model) if made else Model([], np.zeros(1), np.empty(0, np.int64), np.empty(0), np.zeros(2 + len(TOPS)))
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("text", "toxic")
+    model = fit_counts(rows)
+    x, y = compared(rows, model)
+    if len(y):
+        model.weights = logistic(x, y, weight[y])
+    return model
 
 
 def scored(df: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``df`` with its rows' toxicity (0 to 1) appended as ``score_col``, which replaces a column of that name.
-    Null, empty and wordless texts get the score of no evidence. No shuffle."""
+    """``df`` with its rows' toxicity (0 to 1) appended as ``score_col``, which replaces a column of that name. All other
+    columns are kept, whatever their names. Null, empty and wordless texts get the score of no evidence; repeated rows
+    score alike; an empty table gives no rows. Nothing is shuffled."""
     sent = df.sparkSession.sparkContext.broadcast(model.dumps())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Model.loads(sent.value)
+        mine, hasher = Model.loads(sent.value), Hasher()
         for batch in slices(batches, "text"):
-            x = np.array([mine.features(t) for t in batch.column(1).to_pylist()])
+            x = np.array([mine.features(hasher.hashes(t)) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mine.score(x), pa.float64())], ["row", "score"])
 
     columns = [c for c in df.columns if c != score_col]
@@ -221,9 +288,16 @@ def scored(df: DataFrame, model: Model, *, text_col: str = "text", score_col: st
     return out.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(columns)), F.col("score").alias(score_col))
 
 
-def toxicity_report(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST_PER_CLASS, order: int = 1) -> DataFrame:
+def drop_toxic(df: DataFrame, model: Model, *, reject_from: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``scored`` gives less than ``reject_from``, with all their columns."""
+    free = next(c for c in (f"toxicity{k}" for k in range(len(df.columns) + 1)) if c not in df.columns)
+    return scored(df, model, text_col=text_col, score_col=free).where(F.col(free) < reject_from).drop(free)
+
+
+def toxicity_report(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST_PER_CLASS) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` (score of 0.5 or more) for each row of ``documents``. Labels
-    of held-out rows (crc32 of the id as text divisible by 5) aren't read by the fit."""
-    model = train(documents, labels.where(crc_of(F.col("doc_id")) % 5 != 0), most_per_class=most_per_class, order=order)
+    of held-out rows (crc32 of the id as text divisible by 5) aren't read by the fit. Nulls, empty texts and ties as in
+    ``train`` and ``scored``; a null id isn't held out."""
+    model = train(documents, labels.where(crc_of(F.col("doc_id")) % 5 != 0), most_per_class=most_per_class)
     out = scored(documents.select("doc_id", "text"), model)
     return out.select("doc_id", (F.coalesce(crc_of(F.col("doc_id")), F.lit(1)) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
