@@ -1,109 +1,207 @@
 """PII surrogates with DataFrame functions alone.
 
-Detected entities are replaced by keyed surrogates of their own kind and format:
-
-* digits (phones, cards, IPv4 addresses, national numbers) pass through a keyed Feistel network over digit
-  strings of their length, which is a bijection: different entities of one format stay different, and the
-  layout (blanks, dots, brackets, country prefix) is kept. A card keeps its first digit and whether its check
-  digit fits; an address keeps its first octet (two where private blocks begin with it) and is an address;
-* e-mail addresses, access keys, hexadecimal secrets and names are drawn from keyed digests of their canonical
-  form. A name keeps its title, gender and script, and its family name maps on its own, so "Mr Ito" and
-  "Mr Ken Ito" remain one person.
-
-A surrogate depends on the key and the canonical entity only, so coreference holds across the corpus.
-Collisions are checked over all distinct entities: where two share a surrogate, all but the least get a retry
-number that enters their digests, until none is shared.
+Detected entities are replaced by keyed surrogates of their own kind and format. Nearly all pass through one keyed
+permutation (``permuted``): a Feistel network over mixed radix, whose halves shift each other's characters within
+their classes, with one step of the first free character between the network and its inverse. So, for each layout, it
+is a bijection and never gives an entity back as it was:
+
+* phones, national numbers, cards, IBANs and addresses keep their layout (blanks, dots, brackets). A phone keeps its
+  country code, told from its digits by the table of code lengths and never from its layout, and the first digit after it (in the
+  plan of code 1 also that of the exchange). A card keeps its first digit and whether its check digit fits, an IBAN its country and whether its check
+  digits fit, an IPv4 address its first octet (two where private blocks begin with it), an IPv6 address
+  its first group (it's written in full);
+* secrets and access keys keep the class of every character: digits, letters by script and case, other marks as they are.
+  Hexadecimal ones stay hexadecimal. A secret with fewer than ROOM letters and digits has no room for that and becomes a
+  keyed token instead;
+* an e-mail address keeps its shape below the reserved domain example.org;
+* names keep title, script, case, and which of their letters are vowels; a given name gets an ending of its gender, which the
+  title tells or else the name. Each word of a name maps on its own, so "Mr Ito" and "Mr Ken Ito" share their family
+  name. The names that a title introduces are replaced in the rest of the same text too, whole or family name alone.
+
+A surrogate depends on the key and the canonical entity (the digits of a phone, the lower-cased address) only, so
+coreference holds across the corpus and across layouts. A check over all distinct entities compares canonical
+surrogates: where two entities share one (which the permutations exclude, and tokens and hexadecimal secrets nearly), all
+but the least get a token of a whole SHA-256 digest, so one pass suffices.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
 
 KEY = "glyphmill-surrogates-1"
 ROUNDS = 4
-#: Titles by gender (m, f, or x for either), and syllables and given names by script.
+ROOM = 6
+TOKEN_DIGITS = 24
+EMPTY = "array<string>"
+#: Titles by gender (m, f, or x for either), given names that tell a gender, and endings of given names by script.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "κ"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "г-жа", "κα"], "x": ["Dr", "Prof"]}
 GIVEN = {
-    "latin": {"m": "Adrian Bruno Carl Daniel Emil Felix Gabriel Hugo Ivan Jonas Leo Martin", "f": "Alma Bianca Clara Diana Elena Flora Greta Helen Irene Julia Laura Maria", "x": "Alex Robin Sasha Kim Noel Jamie Chris Dominique"},
-    "cyrillic": {"m": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл", "f": "Анна Вера Галина Дарья Елена Ирина Ксения Мария", "x": "Саша Женя Валя Слава"},
-    "greek": {"m": "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος", "f": "Άννα Ελένη Ειρήνη Κατερίνα Μαρία Σοφία", "x": "Χαρά Αλέξις"},
+    "m": "adrian bruno carl daniel emil felix gabriel hugo ivan jonas leo martin luca andrea joshua никита илья лука савва фома νίκος",
+    "f": "alice agnes carmen dolores edith elisabeth elizabeth grace helen ingrid irene judith karen margaret pilar ruth susan любовь",
 }
-SYLLABLES = {
-    "latin": "ba be bo da de do fa fe ga go ka ke la le lo ma me mo na ne no ra re ro sa se ta te to va ve vo".split(),
-    "cyrillic": "ба бе бо ва ве го да де до за ка ко ла ле ло ма ме мо на не но па ра ре ро са се та те то фа ха".split(),
-    "greek": "βα βε γα γο δα δε ζα θα κα κε λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε τα τε το φα χα".split(),
+ENDINGS = {"latin": ("us", "ia"), "cyrillic": ("ий", "ия"), "greek": ("ιος", "ία")}
+#: Alphabets whose characters stand for each other; those of names part vowels from consonants.
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+RUSSIAN, GREEK = "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýþÿœšž"
+#: For each mode of ``recast`` its alphabets. Octets of addresses travel as characters of a private block.
+MODES = {
+    "any": [DIGITS, LOWER, UPPER, RUSSIAN, RUSSIAN.upper(), GREEK, GREEK.upper(), ACCENTED, ACCENTED.upper()],
+    "hex": [DIGITS, "abcdef", "ABCDEF"],
+    "name": ["aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñšžčřďťňłđğşżźśćńß", "аеёиоуыэюяіїє", "бвгджзйклмнпрстфхцчшщ", "ъь", "αεηιουω", "άέήίόύώϊϋ", "βγδζθκλμνξπρσςτφχψ"],
 }
+OCTETS = 0xE000
+#: Blocks of scripts without case: first code point and size (Hebrew, Arabic, kana, Han, Hangul).
+BLOCKS = [(0x5D0, 27), (0x621, 26), (0x641, 10), (0x3041, 86), (0x30A1, 90), (0x4E00, 20992), (0xAC00, 11172), (OCTETS, 256)]
+#: Country calling codes of one and of two digits; all others have three.
+ONE_DIGIT, TWO_DIGITS = "1 7".split(), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_GROUP = "[0-9a-fA-F]{1,4}"
+_NAME = r"\p{Lu}(?:[\p{L}\p{M}]++(?:['’-][\p{L}\p{M}]++)*+|['’][\p{L}\p{M}]++)"
 #: Kinds in order of preference; each pattern begins with a lookbehind, so a long word is tried once.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])|(?<=(?:password|passwd|secret|token)[ ]?[=:][ ]?[\"']?)[^\s\"'<]{6,}+",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?=(?:[ ]?[A-Z]{0,4}[0-9]){7})(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?=[0-9a-fA-F:]*[0-9])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|::(?:{_GROUP}:){{0,6}}{_GROUP}|(?:{_GROUP}:){{2,7}}:)(?![0-9A-Za-z:])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])",
     "card": r"(?<![0-9-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{8,15}(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[ ]\p{{Lu}}\p{{Ll}}+(?:[ ]\p{{Lu}}\p{{Ll}}+)?",
+    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{8,15}(?![0-9])|(?<![0-9A-Za-z.,+-])[2-9][0-9]{2}[2-9][0-9]{6}(?![0-9A-Za-z]|[.,-][0-9])",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[ ]{_NAME}(?:[ ](?!(?:{_TITLE})\.?[ ])(?:\p{{Lu}}\.[ ])?{_NAME}){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every match of PATTERN holds a digit, an at sign or one of these; looking for them first is cheap.
 SIGNS = ["AKIA", "password", "passwd", "secret", "token", "Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Sr", "Dr", "Prof", "г-", "κ"]
 
 
-def kind_of(entity: Column) -> Column:
-    kind = F.lit("phone")
-    for name in reversed([k for k in PATTERNS if k not in ("phone", "secret")]):
-        kind = F.when(entity.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(kind)
-    phone = entity.rlike(f"^(?:{PATTERNS['phone']})$")
-    return F.when(~phone & (kind == "phone"), "secret").otherwise(kind)
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, evaluating ``value`` once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def canonical(entity: Column, kind: Column) -> Column:
-    """What coreferent spellings share."""
-    digits = F.regexp_replace(entity, "[^0-9]", "")
-    return F.when(kind.isin("card", "national", "phone"), digits).when(kind == "email", F.lower(entity)).otherwise(entity)
+def kind_of(entity: Column) -> Column:
+    kind = F.lit("secret")
+    for name in reversed([k for k in PATTERNS if k != "secret"]):
+        kind = F.when(entity.rlike(f"^(?:{PATTERNS[name]})$"), name).otherwise(kind)
+    return kind
 
 
 def digest(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256)
 
 
-def number(hexed: Column, begin: int = 1) -> Column:
-    """48 bits of a hexadecimal digest."""
-    return F.conv(F.substring(hexed, begin, 12), 16, 10).cast("long")
+def only(entity: Column, inside: str) -> Column:
+    return F.regexp_replace(entity, f"[^{inside}]", "")
 
 
-def ten_to(n: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(10**k).cast("long") for k in range(19))), n + 1)
+# -- the keyed permutation -------------------------------------------------------------------------
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)``, evaluating ``value`` once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def permuted(values: Column, sizes: Column, key: str, tweak: Column) -> Column:
+    """Another vector of numbers below ``sizes``: for each key, tweak and sizes a bijection without fixed points. It is its
+    own kind of no-op only if no size is above 1, when ``values`` comes back."""
+    half = F.floor(F.size(values) / 2).cast("int")
+    first_free = F.array_position(F.transform(sizes, lambda n: n > 1), True).cast("int") - 1
 
+    def shifted(state: Column, turn: Column, sign: Column) -> Column:
+        left = turn % 2 == 0
+        other = F.array_join(F.transform(F.when(left, F.slice(state, half + 1, F.size(state))).otherwise(F.slice(state, 1, half)), lambda v: v.cast("string")), ",")
+        seed = F.concat_ws("\x1f", F.lit(key), tweak, turn.cast("string"), other)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(state) / 16).cast("int")), lambda b: F.sha2(F.concat(seed, F.lit("\x1f"), b.cast("string")), 256))
+        drawn = lambda h, i: F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        return bind(F.array_join(blocks, ""), lambda h: F.transform(state, lambda v, i: F.when((i < half) == left, F.pmod(v + sign * drawn(h, i), F.element_at(sizes, i + 1))).otherwise(v)))
 
-def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, tweak: Column) -> Column:
-    """A keyed bijection of pairs (left below left_size, right below right_size), as a struct."""
-    state = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+    def step(state: Column, t: Column) -> Column:
+        stepped = F.transform(state, lambda v, i: F.when(i == first_free, F.pmod(v + 1, F.element_at(sizes, i + 1))).otherwise(v))
+        return F.when(t < ROUNDS, shifted(state, t, F.lit(1))).when(t == ROUNDS, stepped).otherwise(shifted(state, 2 * ROUNDS - t, F.lit(-1)))
 
-    def one(s, k):
-        mixed = lambda half, size: F.pmod(half + number(digest(key, tweak, k.cast("string"), s["r"].cast("string"))), size)
-        return bind(F.struct(mixed(s["l"], left_size).cast("long").alias("l"), s["r"].alias("r")), lambda t: F.struct(t["l"].alias("l"), F.pmod(t["r"] + number(digest(key, tweak, F.lit("r"), k.cast("string"), t["l"].cast("string"))), right_size).cast("long").alias("r")))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS)), values, step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state, one)
 
+def cells(text: Column, mode: Column) -> Column:
+    """For each character ``c`` of a text its place ``v`` among the ``n`` that stand for each other (n = 1: none), and
+    ``at``, where they begin: in all alphabets joined (from 1), or, negative, in Unicode."""
+    joined, starts, begins, sizes = {}, {}, [], []
+    for name, alphabets in MODES.items():
+        joined[name], starts[name] = "".join(alphabets), len(begins)
+        for alphabet in alphabets:
+            begins += [len(begins) + 1] * len(alphabet)
+            sizes += [len(alphabet)] * len(alphabet)
+    by_mode = lambda of: F.when(mode == "name", F.lit(of["name"])).when(mode == "hex", F.lit(of["hex"])).otherwise(F.lit(of["any"]))
+    told = lambda numbers, q: F.ascii(F.substring(F.lit("".join(map(chr, numbers))), q, F.lit(1)))
+    cell = lambda c, v, n, at: F.struct(c.alias("c"), v.cast("int").alias("v"), n.cast("int").alias("n"), at.cast("int").alias("at"))
+
+    def one(c: Column) -> Column:
+        code = F.ascii(c)
+        made = cell(c, F.lit(0), F.lit(1), F.lit(0))
+        for first, size in BLOCKS:
+            made = F.when(code.between(first, first + size - 1), cell(c, code - first, F.lit(size), F.lit(-first))).otherwise(made)
+        far = F.when((code >= BLOCKS[0][0]) & (mode == "any"), made).otherwise(cell(c, F.lit(0), F.lit(1), F.lit(0)))
+        return bind(F.instr(by_mode(joined), c), lambda p: F.when(p > 0, bind(p + by_mode(starts), lambda q: bind(told(begins, q), lambda at: cell(c, q - at, told(sizes, q), at)))).otherwise(far))
+
+    return F.transform(F.split(text, ""), one)
+
+
+def layout_of(of: Column) -> Column:
+    return F.array_join(F.transform(of, lambda x: F.when(x["n"] > 1, F.concat(F.lit("\x1e"), x["at"].cast("string"))).otherwise(x["c"])), "")
 
-def permuted(digits: Column, key: str, kind: str) -> Column:
-    """A keyed bijection of the digit strings of each length up to 36."""
-    n = F.length(digits)
-    h = (n / 2).cast("int")
-    left = F.coalesce(F.substring(digits, F.lit(1), h).cast("long"), F.lit(0))
-    right = F.substring(digits, h + 1, n - h).cast("long")
-    mixed = feistel(left, right, ten_to(h), ten_to(n - h), key, F.concat(F.lit(kind), n.cast("string")))
-    padded = lambda x, size: F.lpad(x.cast("string"), size, "0")
-    return bind(mixed, lambda s: F.concat(F.when(h > 0, padded(s["l"], h)).otherwise(""), padded(s["r"], n - h)))
+
+def recast(text: Column, key: str, mode: Column, tweak: Column) -> Column:
+    """``new``: ``text`` with each character permuted within its alphabet of this mode (other characters stay), and ``room``: how
+    many characters could change."""
+    whole = F.lit("".join("".join(alphabets) for alphabets in MODES.values()))
+
+    def letter(x: Column, v: Column) -> Column:
+        far = F.decode(F.unhex(F.lpad(F.hex(v - x["at"]), 4, "0")), "UTF-16BE")
+        return F.when(x["n"] == 1, x["c"]).when(x["at"] > 0, F.substring(whole, x["at"] + v, F.lit(1))).otherwise(far)
+
+    def made(of: Column) -> Column:
+        new = permuted(F.transform(of, lambda x: x["v"]), F.transform(of, lambda x: x["n"]), key, F.concat(tweak, F.lit("\x1d"), layout_of(of)))
+        return F.struct(F.array_join(F.zip_with(of, new, letter), "").alias("new"), F.size(F.filter(of, lambda x: x["n"] > 1)).alias("room"))
+
+    return F.when(F.length(text) > 0, bind(cells(text, mode), made)).otherwise(F.struct(text.alias("new"), F.lit(0).alias("room")))
+
+
+def filled(entity: Column, new: Column, inside: str) -> Column:
+    """``entity`` with its characters in the class ``inside``, in order, replaced by those of ``new``."""
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+    step = lambda s, c: F.when(c.rlike(f"[{inside}]"), F.struct((s["at"] + 1).alias("at"), F.concat(s["out"], F.substring(new, s["at"], F.lit(1))).alias("out"))).otherwise(F.struct(s["at"].alias("at"), F.concat(s["out"], c).alias("out")))
+    return F.aggregate(F.split(entity, ""), start, step)["out"]
+
+
+# -- kinds -----------------------------------------------------------------------------------------
+
+
+def tail(text: Column, begin: Column | int) -> Column:
+    """``text`` from the character ``begin`` (from 1) on."""
+    return F.substring(text, F.lit(begin) if isinstance(begin, int) else begin, F.length(text))
+
+
+def code_length(digits: Column) -> Column:
+    """Of a country calling code at the beginning of ``digits``."""
+    return F.when(F.substring(digits, 1, 1).isin(ONE_DIGIT), 1).when(F.substring(digits, 1, 2).isin(TWO_DIGITS), 2).otherwise(3)
+
+
+def phone_digits(entity: Column) -> Column:
+    """``+`` and digits with the country code, or ``n`` and digits where there is none: ten digits, and eleven that begin
+    with 1, are numbers of the plan of code 1, however they're written."""
+    return bind(only(entity, "0-9"), lambda d: F.when(entity.startswith("+"), F.concat(F.lit("+"), d)).when(F.length(d) == 10, F.concat(F.lit("+1"), d)).when((F.length(d) == 11) & d.startswith("1"), F.concat(F.lit("+"), d)).otherwise(F.concat(F.lit("n"), d)))
+
+
+def held_digits(known: Column) -> Column:
+    """How many of a phone's first digits stay: those of its country code, and one more."""
+    return F.when(known.startswith("+"), code_length(tail(known, 2))).otherwise(0) + 1
+
+
+def in_plan_1(known: Column) -> Column:
+    """Whether a phone is a whole number of the plan of code 1, in which area and exchange don't begin with 0 or 1."""
+    return known.startswith("+1") & (F.length(known) == 12)
 
 
 def check_digit(body: Column) -> Column:
@@ -112,149 +210,242 @@ def check_digit(body: Column) -> Column:
     return F.pmod(10 - F.aggregate(values, F.lit(0), lambda a, b: a + b) % 10, F.lit(10))
 
 
-def filled(entity: Column, digits: Column) -> Column:
-    """``entity`` with its digits, in order, replaced by those of ``digits``."""
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    step = lambda s, c: F.when(c.rlike("[0-9]"), F.struct((s["at"] + 1).alias("at"), F.concat(s["out"], F.substring(digits, s["at"], F.lit(1))).alias("out"))).otherwise(F.struct(s["at"].alias("at"), F.concat(s["out"], c).alias("out")))
-    return F.aggregate(F.split(entity, ""), start, step)["out"]
+def card(digits: Column, new: Column) -> Column:
+    """``digits`` with ``new`` between the first and the last, which stays as far from the one that fits as it was."""
+    n = F.length(digits)
+    off = F.substring(digits, n, F.lit(1)).cast("int") - check_digit(F.substring(digits, F.lit(1), n - 1))
+    return bind(F.concat(F.substring(digits, 1, 1), new), lambda b: F.concat(b, F.pmod(check_digit(b) + off, F.lit(10)).cast("string")))
 
 
-def card(digits: Column, key: str) -> Column:
-    n = F.length(digits)
-    body, last = F.substring(digits, F.lit(1), n - 1), F.substring(digits, n, F.lit(1)).cast("int")
-    new = F.concat(F.substring(digits, 1, 1), permuted(F.substring(digits, F.lit(2), n - 2), key, "card"))
-    return bind(new, lambda b: F.concat(b, F.pmod(check_digit(b) + last - check_digit(body), F.lit(10)).cast("string")))
-
-
-def phone(entity: Column, digits: Column, key: str) -> Column:
-    """A country prefix stays; the rest is permuted, with its first digit held so that it can be dialled."""
-    prefix = F.length(F.regexp_replace(F.regexp_extract(entity, r"^\+([0-9]{1,3})[ .(-]", 1), "[^0-9]", ""))
-    return bind(prefix, lambda p: F.concat(F.substring(digits, F.lit(1), p + 1), permuted(F.substring(digits, p + 2, F.length(digits)), key, "phone")))
-
-
-def address(entity: Column, key: str) -> Column:
-    o = F.transform(F.split(entity, r"\."), lambda x: x.cast("long"))
-    private = entity.rlike(r"^(?:192|172|169)\.")  # their blocks are told by the second octet, which stays
-    low = feistel(o[2], o[3], F.lit(256), F.lit(256), key, F.concat(F.lit("ip"), o[0].cast("string"), F.lit("."), o[1].cast("string")))
-    wide = feistel(o[1] * 16 + F.shiftright(o[2], 4), (o[2] % 16) * 256 + o[3], F.lit(4096), F.lit(4096), key, F.concat(F.lit("ip"), o[0].cast("string")))
-    kept = bind(low, lambda s: F.concat_ws(".", o[0].cast("string"), o[1].cast("string"), s["l"].cast("string"), s["r"].cast("string")))
-    free = bind(wide, lambda s: F.concat_ws(".", o[0].cast("string"), F.shiftright(s["l"], 4).cast("string"), ((s["l"] % 16) * 16 + F.shiftright(s["r"], 8)).cast("string"), (s["r"] % 256).cast("string")))
-    return F.when(private, kept).otherwise(free)
-
-
-def recased(entity: Column, hexed: Column, alphabet: str) -> Column:
-    """Keyed characters in the layout of ``entity``: digits for digits, letters of ``alphabet`` for letters of
-    either case, other characters kept. ``hexed``: as many hexadecimal digits as twice the characters."""
-    pick = lambda i, n: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % n
-    letter = lambda i: F.substring(F.lit(alphabet), pick(i, len(alphabet)) + 1, F.lit(1))
-    each = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), pick(i, 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(letter(i))).when(c.rlike(r"\p{L}"), letter(i)).otherwise(c))
-    return F.array_join(each, "")
-
-
-def stretched(seed: Column, entity: Column) -> Column:
-    """A digest prolonged to two hexadecimal digits for each character of ``entity``."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(entity) / 32).cast("int")), lambda k: F.sha2(F.concat(seed, k.cast("string")), 256)), "")
-
-
-def name(entity: Column, key: str, retry: Column) -> Column:
-    title, rest = F.regexp_extract(entity, rf"^((?:{_TITLE})\.?[ ])", 1), F.regexp_replace(entity, rf"^(?:{_TITLE})\.?[ ]", "")
-    bare = F.regexp_replace(F.trim(title), r"\.$", "")
-    gender = F.when(bare.isin(TITLES["m"]), "m").when(bare.isin(TITLES["f"]), "f").otherwise("x")
-    script = F.when(rest.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(rest.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
-    parts = F.split(rest, " ")
-    family, given = F.element_at(parts, -1), F.when(F.size(parts) > 1, F.element_at(parts, 1))
-    picked = F.lit("")
-    for s, by in GIVEN.items():
-        for g, names in by.items():
-            values = names.split()
-            seed = number(digest(key, F.lit("given"), F.lit(g), given, retry))
-            picked = F.when((script == s) & (gender == g) & given.isNotNull(), F.concat(F.element_at(F.array(*map(F.lit, values)), (seed % len(values)).cast("int") + 1), F.lit(" "))).otherwise(picked)
+def mod97(text: Column) -> Column:
+    """The remainder by 97 of a text's digits and letters (A = 10 ... Z = 35) read as one number."""
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+
+
+def iban_fits(known: Column) -> Column:
+    return mod97(F.concat(tail(known, 5), F.substring(known, 1, 4))) == 1
+
+
+def iban(known: Column, new: Column) -> Column:
+    """The country with ``new``, before which check digits that fit come if those of ``known`` did."""
+    country = F.substring(known, 1, 2)
+    return F.concat(country, F.when(iban_fits(known), F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")).otherwise(""), new)
+
+
+def ip6_groups(entity: Column) -> Column:
+    """An IPv6 address as its 32 lower-case hexadecimal digits (more if it had too many groups)."""
+    groups = lambda part: F.transform(F.filter(F.split(part, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+    sides = F.split(F.lower(entity), "::", 2)
+    left, right = groups(F.element_at(sides, 1)), groups(F.coalesce(F.try_element_at(sides, F.lit(2)), F.lit("")))
+    return F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))), right), "")
+
+
+def octets_held(entity: Column) -> Column:
+    """How many of an IPv4 address's octets stay: two where the second tells the block."""
+    return F.when(entity.rlike(r"^(?:192|172|169)\."), 2).otherwise(1)
+
+
+def octet_letters(entity: Column, held: Column) -> Column:
+    """The other octets as characters of the private block."""
+    free = F.transform(F.slice(F.split(entity, r"\."), held + 1, 4), lambda o: F.decode(F.unhex(F.hex(o.cast("int") + OCTETS)), "UTF-16BE"))
+    return F.array_join(free, "")
+
+
+def ip4(entity: Column, held: Column, new: Column) -> Column:
+    kept = F.slice(F.split(entity, r"\."), 1, held)
+    return F.array_join(F.concat(kept, F.transform(F.split(new, ""), lambda c: (F.ascii(c) - OCTETS).cast("string"))), ".")
+
+
+def title_of(entity: Column) -> Column:
+    return F.regexp_extract(entity, rf"^((?:{_TITLE})\.?[ ])", 1)
+
+
+def gender_of(title: Column, given: Column) -> Column:
+    """Told by the title, or else by the given name itself."""
+    bare, said = F.regexp_replace(F.trim(title), r"\.$", ""), F.lower(given)
+    named = F.when(said.isin(GIVEN["f"].split()), "f").when(said.isin(GIVEN["m"].split()), "m").when(said.rlike("(?:a|ie|elle|ine|а|я|α|η|ά|ή)$"), "f").otherwise("m")
+    return F.when(bare.isin(TITLES["m"]), "m").when(bare.isin(TITLES["f"]), "f").otherwise(named)
+
+
+def script_of(word: Column) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+
+def ending(word: Column, gender: Column) -> Column:
     made = F.lit("")
-    for s, values in SYLLABLES.items():
-        table = F.array(*map(F.lit, values))
-        seed = digest(key, F.lit("family"), family, F.when(given.isNull() | (retry > 3), retry).otherwise(F.lit(0)))
-        made = F.when(script == s, bind(seed, lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.element_at(table, F.conv(F.substring(h, k * 3 + 1, F.lit(3)), 16, 10).cast("int") % len(values) + 1)), ""))).otherwise(made)
-    return F.concat(title, picked, F.initcap(made))
-
-
-def surrogate(entity: Column, key: str = KEY, retry: Column | None = None) -> Column:
-    """The surrogate of one entity; ``retry`` is 0 but for entities that collided."""
-    retry = F.lit(0) if retry is None else retry
-
-    def make(kind):
-        known = canonical(entity, kind)
-        seed = digest(key, kind, known, retry)
-        email = F.concat(F.lit("u"), F.substring(seed, 1, 16), F.lit("@"), F.substring(F.lit("abcdefghij"), (number(seed, 20) % 10 + 1).cast("int"), F.lit(1)), F.lit(".example.org"))
-        new_access = F.concat(F.lit("AKIA"), recased(F.substring(entity, 5, 16), stretched(seed, entity), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        new_secret = recased(entity, stretched(seed, entity), "abcdef")
+    for script, (m, f) in ENDINGS.items():
+        made = F.when(script_of(word) == script, F.when(gender == "f", f).otherwise(m)).otherwise(made)
+    return made
+
+
+def role_of(i: Column, n: Column, gender: Column) -> Column:
+    return F.when(i == n - 1, F.lit("family")).when(i == 0, F.concat(F.lit("given"), gender)).otherwise(F.lit("middle"))
+
+
+def person(words: Column, gender: Column, made: Column, key: str) -> Column:
+    """A name from its words' surrogates ``made``, each in the case of the word it replaces, the given name with its
+    gender's ending. A word without a letter of a known alphabet becomes one of keyed letters."""
+    n = F.size(words)
+
+    def one(w: Column, i: Column) -> Column:
+        new, room = F.element_at(made, i + 1)["new"], F.element_at(made, i + 1)["room"]
+        drawn = F.initcap(F.translate(F.substring(digest(key, role_of(i, n, gender), F.lower(w)), 1, TOKEN_DIGITS), DIGITS, "ghijklmnop"))
+        cased = F.array_join(F.zip_with(F.split(new, ""), F.split(w, ""), lambda x, y: F.when(y.rlike(r"\p{Lu}"), F.upper(x)).otherwise(x)), "")
+        said = F.when(room == 0, drawn).when(F.length(new) == F.length(w), cased).otherwise(F.initcap(new))
+        return F.concat(said, F.when((i == 0) & (n > 1), ending(w, gender)).otherwise(""))
+
+    return F.array_join(F.transform(words, one), " ")
+
+
+def words_of(entity: Column) -> Column:
+    return F.split(F.substring(entity, F.length(title_of(entity)) + 1, F.length(entity)), " ")
+
+
+def canonical(entity: Column, kind: Column) -> Column:
+    """What coreferent spellings share."""
+    person_ = bind(words_of(entity), lambda w: F.concat_ws(" ", F.when(F.size(w) > 1, gender_of(title_of(entity), F.element_at(w, 1))), F.lower(F.array_join(w, " "))))
+    return (
+        F.when(kind.isin("card", "national"), only(entity, "0-9"))
+        .when(kind == "phone", phone_digits(entity))
+        .when(kind == "iban", only(entity, "A-Z0-9"))
+        .when(kind == "ip6", ip6_groups(entity))
+        .when(kind == "email", F.lower(entity))
+        .when(kind == "name", person_)
+        .otherwise(entity)
+    )
+
+
+def known_as(entity: Column) -> Column:
+    """Kind and canonical form: equal for coreferent entities."""
+    return bind(kind_of(entity), lambda kind: F.concat_ws("\x1f", kind, canonical(entity, kind)))
+
+
+def surrogate(entity: Column, key: str = KEY, losers: Column | None = None, people: Column | None = None) -> Column:
+    """The surrogate of one entity. ``losers``: entities (as ``known_as``) that the collision check gave tokens; ``people``:
+    untitled names (as ``introduced``) that are entities here."""
+    piece = lambda t, mode, *tweak: F.struct(t.alias("t"), F.lit(mode).alias("mode") if isinstance(mode, str) else mode.alias("mode"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in tweak), F.lit("")).alias("tweak"))
+
+    def parts_of(kind: Column, known: Column, words: Column, gender: Column) -> Column:
+        """What of the entity is permuted."""
+        one = lambda *x: F.array(piece(*x))
+        fits, held = iban_fits(known), held_digits(known)
         return (
-            F.when(kind == "email", email)
-            .when(kind == "access", new_access)
-            .when(kind == "ip", address(entity, key))
-            .when(kind == "card", filled(entity, card(known, key)))
-            .when(kind == "national", filled(entity, permuted(known, key, "national")))
-            .when(kind == "phone", filled(entity, phone(entity, known, key)))
-            .when(kind == "name", name(entity, key, retry))
-            .otherwise(new_secret)
+            F.when(kind == "email", one(known, "any", "email"))
+            .when(kind == "access", one(tail(entity, 5), "any", "access"))
+            .when(kind == "iban", one(F.when(fits, tail(known, 5)).otherwise(tail(known, 3)), "any", "iban", F.substring(known, 1, 2), fits.cast("string")))
+            .when(kind == "ip6", one(tail(known, 5), "hex", "ip6", F.substring(known, 1, 4)))
+            .when(kind == "ip", one(octet_letters(entity, octets_held(entity)), "any", "ip", F.array_join(F.slice(F.split(entity, r"\."), 1, octets_held(entity)), ".")))
+            .when(kind == "card", one(F.substring(known, F.lit(2), F.length(known) - 2), "any", "card", F.substring(known, 1, 1)))
+            .when(kind == "national", one(known, "any", "national"))
+            .when((kind == "phone") & in_plan_1(known), one(F.concat(F.substring(known, 4, 2), tail(known, 7)), "any", "phone", F.substring(known, 1, 3), F.substring(known, 6, 1)))
+            .when(kind == "phone", one(tail(known, held + 2), "any", "phone", F.substring(known, F.lit(1), held + 1)))
+            .when(kind == "name", F.transform(words, lambda w, i: piece(F.lower(w), "name", role_of(i, F.size(words), gender))))
+            .otherwise(one(entity, F.when(entity.rlike("^(?=[a-fA-F]*[0-9])[0-9a-fA-F]{16,}$"), "hex").otherwise("any"), "secret"))
         )
 
-    return bind(kind_of(entity), make)
+    def put(kind: Column, known: Column, title: Column, words: Column, gender: Column, made: Column) -> Column:
+        """The entity's surrogate from what its parts became."""
+        new = F.element_at(made, 1)["new"]
+        plan_1 = F.concat(F.substring(known, 2, 2), F.substring(new, 1, 2), F.substring(known, 6, 1), tail(new, 3))
+        digits = F.when(in_plan_1(known), plan_1).otherwise(F.concat(F.substring(known, F.lit(2), held_digits(known)), new))
+        made_ = (
+            F.when(kind == "email", F.concat(new, F.lit(".example.org")))
+            .when(kind == "access", F.concat(F.lit("AKIA"), new))
+            .when(kind == "iban", filled(entity, iban(known, new), "A-Z0-9"))
+            .when(kind == "ip6", F.regexp_replace(F.concat(F.substring(known, 1, 4), new), "(....)(?!$)", "$1:"))
+            .when(kind == "ip", ip4(entity, octets_held(entity), new))
+            .when(kind == "card", filled(entity, card(known, new), "0-9"))
+            .when(kind == "national", filled(entity, new, "0-9"))
+            # a country code that the entity doesn't write is left out
+            .when(kind == "phone", filled(entity, tail(digits, F.length(digits) - F.length(only(entity, "0-9")) + 1), "0-9"))
+            .when(kind == "name", F.concat(title, person(words, gender, made, key)))
+            .when(F.element_at(made, 1)["room"] < ROOM, F.concat(F.lit("x"), F.substring(digest(key, F.lit("token"), entity), 1, TOKEN_DIGITS)))
+            .otherwise(new)
+        )
+        if losers is None:
+            return made_
+        return F.when(F.array_contains(losers, F.concat_ws("\x1f", kind, known)), F.concat(F.lit("x"), digest(key, F.lit("again"), kind, known))).otherwise(made_)
+
+    def whole(x: Column) -> Column:
+        known = canonical(entity, x["kind"])
+        return bind(known, lambda k: bind(F.transform(parts_of(x["kind"], k, x["words"], x["gender"]), lambda p: recast(p["t"], key, p["mode"], p["tweak"])), lambda made: put(x["kind"], k, x["title"], x["words"], x["gender"], made)))
+
+    def titled(title: Column) -> Column:
+        words = F.split(tail(entity, F.length(title) + 1), " ")
+        return bind(words, lambda w: F.struct(kind_of(entity).alias("kind"), title.alias("title"), w.alias("words"), gender_of(title, F.element_at(w, 1)).alias("gender")))
+
+    mine = bind(title_of(entity), titled)
+    if people is not None:
+        said = F.try_element_at(F.filter(people, lambda p: p["said"] == entity), F.lit(1))
+        bare = bind(said, lambda p: F.when(p.isNotNull(), F.struct(F.lit("name").alias("kind"), F.lit("").alias("title"), p["words"].alias("words"), p["gender"].alias("gender"))))
+        mine = F.coalesce(bare, mine)
+    return bind(mine, whole)
+
 
+# -- texts -----------------------------------------------------------------------------------------
 
-def holds_entity(text: Column) -> Column:
+
+def found_in(text: Column) -> Column:
+    """The entities of a text, in order and as written; none for null."""
     signs = text.rlike("[0-9@]")
     for sign in SIGNS:
         signs = signs | F.contains(text, F.lit(sign))
-    return F.coalesce(signs & text.rlike(PATTERN), F.lit(False))
+    return F.coalesce(F.when(signs, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))), F.array().cast(EMPTY))
 
 
-def found_in(text: Column) -> Column:
-    """The entities of a text, in order and as written."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+def introduced(found: Column) -> Column:
+    """For each titled name among the entities its untitled forms ``said`` (whole, first and last word, family name), with their
+    ``words`` and the ``gender``."""
+    titled = F.filter(found, lambda e: e.rlike(rf"^(?:{_TITLE})\.?[ ]\p{{Lu}}"))
+
+    def forms(e: Column, w: Column) -> Column:
+        gender, family = gender_of(title_of(e), F.element_at(w, 1)), F.element_at(w, -1)
+        form = lambda ws: F.struct(F.array_join(ws, " ").alias("said"), ws.alias("words"), gender.alias("gender"))
+        return F.array_distinct(F.array(form(w), form(F.when(F.size(w) > 1, F.array(F.element_at(w, 1), family)).otherwise(w)), form(F.array(family))))
+
+    return F.flatten(F.transform(titled, lambda e: bind(words_of(e), lambda w: forms(e, w))))
 
 
-def rebuilt(text: Column, new: Column) -> Column:
-    """``text`` with its entities replaced by the elements of ``new``."""
-    parts = F.split(text, PATTERN, -1)
-    return F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
+def any_of(said: Column) -> Column:
+    """A pattern of any of these names as whole words, the longest first."""
+    longest = F.transform(F.reverse(F.array_sort(F.transform(F.array_distinct(said), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))), lambda x: x["s"])
+    return F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), F.array_join(F.transform(longest, lambda s: F.replace(s, F.lit("."), F.lit("\\."))), "|"), F.lit(r")(?![\p{L}\p{M}])"))
 
 
-def collisions(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """``entity`` and ``retry`` (above 0) for entities whose first surrogate is that of another canonical entity.
-    Spellings of one canonical entity may share a surrogate. ``entities``: distinct, in column ``entity``."""
-    pending = written(entities.select("entity", F.lit(0).alias("retry")), "pii-entities")
-    while True:
-        kind = kind_of(F.col("entity"))
-        made = pending.select("entity", "retry", F.concat_ws("\x1f", kind, canonical(F.col("entity"), kind)).alias("known"), surrogate(F.col("entity"), key, F.col("retry")).alias("new"))
-        shared = made.groupBy("new").agg(F.min("known").alias("first"), F.max("known").alias("last")).where("first <> last").select("new", "first")
-        if not shared.limit(1).count():
-            return pending.where("retry > 0")
-        clashing = made.join(shared, "new").where(F.col("known") != F.col("first")).select("entity").withColumn("again", F.lit(1))
-        pending = written(pending.join(clashing, "entity", "left").select("entity", (F.col("retry") + F.coalesce("again", F.lit(0))).alias("retry")), "pii-entities")
+def losers_among(entities: DataFrame, key: str = KEY) -> DataFrame:
+    """``known`` (as ``known_as``) of the entities that share the canonical surrogate of a lesser one. ``entities``: distinct,
+    in column ``entity``; dealt evenly, as few rows can be much work."""
+    spread = entities.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
+    made = spread.select("entity", kind_of(F.col("entity")).alias("kind")).select("kind", canonical(F.col("entity"), F.col("kind")).alias("canonical"), surrogate(F.col("entity"), key).alias("new"))
+    shown = F.when(F.col("kind") == "name", F.lower(F.regexp_replace("new", rf"^(?:{_TITLE})\.?[ ]", ""))).otherwise(canonical(F.col("new"), F.col("kind")))
+    compared = written(made.select(F.concat_ws("\x1f", "kind", "canonical").alias("known"), shown.alias("shown")), "pii-surrogates")
+    least = compared.groupBy("shown").agg(F.min("known").alias("first"), F.max("known").alias("last")).where("first <> last")
+    return written(compared.join(least, "shown").where("known <> first").select("known").distinct(), "pii-losers")
 
 
 def replace_entities(df: DataFrame, key: str = KEY, *, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """``df`` with the entities in ``text_col`` replaced, all other columns kept; ``count_col``, if named, gets the
-    number of replaced entities (an existing column of that name is replaced).
+    """``df`` with the entities in ``text_col`` replaced, all other columns kept whatever their names; ``count_col``, if
+    named, gets the number of replaced entities (an existing column of that name is replaced).
 
-    Null stays null (count 0); texts without entities are unchanged. Rows that repeat get the same text. An
-    empty table gives no rows. Nothing is shuffled but the distinct entities for the collision check, and
-    the texts of documents that hold entities if there are collisions.
+    Null stays null (count 0); texts without entities, empty ones too, are unchanged; ids aren't read. Rows that repeat
+    get the same text. An empty table gives no rows. Only the distinct entities are shuffled, for the collision check, and, if
+    it finds any, once the documents' texts.
     """
-    text = F.col(f"`{text_col}`")
-    holds = holds_entity(text)
-    entities = df.where(holds).select(F.explode(found_in(text)).alias("entity")).distinct()
-    again = collisions(entities, key)
-    count = F.coalesce(F.when(holds, F.size(found_in(text)).cast("long")), F.lit(0).cast("long"))
-    columns = {count_col: count} if count_col else {}
-    if not again.limit(1).count():
-        return df.withColumns(columns | {text_col: F.when(holds, rebuilt(text, F.transform(found_in(text), lambda e: surrogate(e, key)))).otherwise(text)})
-    # with collisions: look retries up by entity, text by text (equal texts once)
-    texts = df.where(holds).select(text.alias("whole")).distinct()
-    each = texts.select("whole", F.posexplode(found_in(F.col("whole"))).alias("at", "entity")).join(again, "entity", "left")
-    new = surrogate(F.col("entity"), key, F.coalesce("retry", F.lit(0)))
-    lists = each.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("at", new.alias("new")))).alias("made"))
-    done = lists.select("whole", rebuilt(F.col("whole"), F.transform("made", lambda m: m["new"])).alias("replaced"))
-    held = df.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns))).alias("row"), text.alias("whole"), count.alias("counted")).join(done, "whole", "left")
-    back = held.select(*((F.coalesce("replaced", "whole") if c == text_col else F.col(f"row.c{k}")).alias(c) for k, c in enumerate(df.columns) if c != count_col), *([F.col("counted").alias(count_col)] if count_col else []))
-    return back
+    columns = [c for c in df.columns if c not in (text_col, count_col)]
+    read = df.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)), F.lit(0).alias("none")).alias("row"), F.col(f"`{text_col}`").alias("whole"))
+    entities = read.select(F.explode(found_in(F.col("whole"))).alias("entity")).distinct()
+    lost = losers_among(entities, key)
+    held, losers = read.withColumn("found", found_in(F.col("whole"))), None
+    if lost.limit(1).count():
+        each = held.where(F.size("found") > 0).select("whole", F.explode("found").alias("entity")).distinct().withColumn("known", known_as(F.col("entity")))
+        theirs = each.join(lost, "known").groupBy(F.col("whole").alias("theirs")).agg(F.collect_set("known").alias("losers"))
+        held, losers = held.join(theirs, F.col("whole") == F.col("theirs"), "left").withColumn("losers", F.coalesce("losers", F.array().cast(EMPTY))), F.col("losers")
+    held = held.withColumn("people", introduced(F.col("found")))
+    more = F.when(F.size("people") > 0, F.concat(F.lit(PATTERN + "|"), any_of(F.transform("people", lambda p: p["said"]))))
+    held = held.withColumn("pattern", more)
+    held = held.withColumn("all", F.when(F.col("pattern").isNotNull(), F.regexp_extract_all("whole", F.col("pattern"), F.lit(0))).otherwise(F.col("found")))
+    new = F.transform("all", lambda e: surrogate(e, key, losers, F.col("people")))
+    parts = F.split("whole", F.coalesce("pattern", F.lit(PATTERN)), -1)
+    text = F.when(F.size("all") > 0, F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")).otherwise(F.col("whole"))
+    made = {c: F.col(f"row.c{k}") for k, c in enumerate(columns)} | {text_col: text} | ({count_col: F.size("all").cast("long")} if count_col else {})
+    return held.select(*(made[c].alias(c) for c in df.columns), *([made[count_col].alias(count_col)] if count_col and count_col not in df.columns else []))
