@@ -11,6 +11,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,12 @@ ODD_SPLIT = re.compile("[\x1c-\x1f]")
 PLAIN = re.compile("[\t-\r -~\x85\xa0-\xac\xae-\xff]*")
 #: The pre-tokeniser's pattern for lower-cased PLAIN text, its letters and numbers spelled out.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s0-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
+#: Letters, and marks, that neither compose nor lower-case with their neighbours: three of one sort before a cut and one
+#: after it lie in one piece. Digits are pieces of their own.
+_LETTER = "A-Za-z\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+INSIDE = re.compile(f"(?<=[{_LETTER}]{{3}})[{_LETTER}]|(?<=[-!\"#$%&()*+,./:;=?@\\[\\]^_`{{}}~]{{3}})[-!\"#$%&()*+,./:;=?@\\[\\]^_`{{}}~]")
+NUMBERS = re.compile("(?<=[0-9])[0-9]")
+WARM = 48
 FINAL = 256
 GENERATION = 200_000
 
@@ -244,6 +251,7 @@ class CountTransducer:
     """
 
     STATES = 60_000
+    BLOCK = 8
 
     def __init__(self, bpe: WordBpe):
         self.bpe = bpe
@@ -263,6 +271,7 @@ class CountTransducer:
             self.token[node] = i
         self.link()
         self.pairs: dict[int, bool] = {}
+        self.pinned = False  # while trails hold numbers of states
         self.reset()
         self.piece_count = Memo(self.count_piece)
 
@@ -336,7 +345,7 @@ class CountTransducer:
     def count_piece(self, piece: str) -> int:
         if piece in self.bpe.special:
             return 1
-        if len(self.states) > self.STATES:
+        if len(self.states) > self.STATES and not self.pinned:
             self.reset()
         state = count = 0
         step, symbols = self.step, list(piece.encode())
@@ -350,51 +359,177 @@ class CountTransducer:
             count += move[1]
         return count
 
-    def count_inner(self, text: str) -> int:
-        """The count of a text that no open run touches."""
-        return sum(map(self.piece_count.__getitem__, self.bpe.pieces(text)))
-
     # -- state maps of chunks ------------------------------------------------------------------
 
-    def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """What a chunk does to any entry state. White space leads every state to the start, so the map
-        is: what ends the run that was open (the head), the count of the runs within, and the run that
-        is open afterwards (the tail). A chunk without white space only lengthens the open run: its
-        count is None."""
-        first, open_at = RUN.match(chunk), len(chunk)
-        head = first.group() if first else ""
-        if len(head) == len(chunk):
-            return chunk, None, ""
-        while not BLANK.match(chunk[open_at - 1]):
-            open_at -= 1
-        return head, self.count_inner(chunk[len(head) : open_at]), chunk[open_at:]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of two neighbouring chunks; associative."""
-        if a[1] is None:
-            return (a[0] + b[0], b[1], b[2])
-        if b[1] is None:
-            return (a[0], a[1], a[2] + b[0])
-        seam = a[2] + b[0]
-        return (a[0], a[1] + self.count_inner(seam) + b[1], b[2])
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
+    def run(self, state: int, symbols: bytes, end: bool, trail: tuple[array, array] | None = None) -> tuple[int, int]:
+        """The state after a piece's bytes, entered in ``state``, and the tokens emitted; ``end``: the piece ends here.
+        ``trail`` takes the state and the count after each byte."""
+        step, count, last = self.step, 0, len(symbols) - 1 if end else -1
+        for k, x in enumerate(symbols):
+            key = (state << 9) | (x + FINAL if k == last else x)
+            move = step.get(key)
+            if move is None:
+                move = step[key] = self.move(state, key & 511)
+            state = move[0]
+            count += move[1]
+            if trail is not None:
+                trail[0].append(state)
+                trail[1].append(count)
+        return state, count
+
+    def entered(self, values: tuple) -> int:
+        """The number of a state given by its values (they outlive ``reset``)."""
+        state = self.known.get(values)
+        if state is None:
+            state = self.known[values] = len(self.states)
+            self.states.append(values)
+        return state
+
+    def safe_cut(self, text: str, near: int, least: int) -> tuple[int, bool]:
+        """Where to cut a text, at ``near`` or as little before it as can be, but after ``least``; beyond it otherwise. Whether a
+        piece is open there. White space and digits part pieces. Between letters (or marks) that neither compose nor lower-case
+        with their neighbours a piece stays open, if enough of them precede to be past any contraction."""
+        for low, high in ((max(least + 1, near - 4096), near), (near + 1, near + 4096)):
+            for part, open_ in ((BLANK, False), (INSIDE, True), (NUMBERS, False)):
+                found = list(part.finditer(text, max(low - 8, least), min(high + 1, len(text))))
+                for m in reversed(found) if high == near else found:
+                    at = m.end() - 1
+                    if low <= at <= high and not self.in_special(text, at):
+                        return at, open_
+        return (self.safe_cut(text, near + 4096, near + 1) if near + 4096 < len(text) else (len(text), False))
+
+    def in_special(self, text: str, at: int) -> bool:
+        """Whether a special token's string spans the place."""
+        return any(text.find(t, max(0, at - len(t) + 1), at + len(t) - 1) >= 0 for t in self.bpe.special)
+
+    def chunks(self, text: str, chunk_chars: int) -> Iterator[tuple[str, bool, bool]]:
+        """A text's chunks, with whether a piece is open at their beginning and at their end."""
+        begin, open_ = 0, False
+        while len(text) - begin > chunk_chars:
+            end, more = self.safe_cut(text, begin + chunk_chars, begin)
+            yield text[begin:end], open_, more
+            begin, open_ = end, more
+        yield text[begin:], open_, False
+
+    def chunk_map(self, chunk: str, open_: bool, more: bool, guess: tuple) -> "ChunkMap":
+        """What a chunk does to any entry state; ``guess``: the values of the state that it's probably entered in."""
+        pieces = self.bpe.pieces(chunk)
+        head = pieces[0].encode() if open_ and pieces else b""
+        if len(pieces) == 1 and open_ and more:
+            return ChunkMap(self, head, False, 0, None, guess)
+        inner = pieces[bool(open_) : len(pieces) - bool(more)]
+        tail = self.run(0, pieces[-1].encode(), False) if more and pieces else (0, 0)
+        return ChunkMap(self, head, True, sum(map(self.piece_count.__getitem__, inner)) + tail[1], self.states[tail[0]], guess)
+
+    def scan(self, maps: list) -> list:
         """Inclusive prefix composition in a logarithmic number of rounds over neighbours."""
         step = 1
         while step < len(maps):
-            maps = maps[:step] + [self.compose(maps[k - step], maps[k]) for k in range(step, len(maps))]
+            maps = maps[:step] + [maps[k - step].then(maps[k]) for k in range(step, len(maps))]
             step *= 2
         return maps
 
-    def apply(self, m: tuple) -> int:
-        """The count of a whole text from its map: both ends of the text close their runs."""
-        return self.count_inner(m[0]) + (m[1] or 0) + self.count_inner(m[2])
+    def prefix_counts(self, text: str, chunk_chars: int) -> Iterator[tuple[int, int]]:
+        """After each chunk of a text: how many characters and how many tokens (the last may still be open) it has so far.
+
+        Chunks are mapped and scanned in blocks of BLOCK; a block hands its last prefix's state to the next, so memory
+        follows a block's size and not the text's."""
+        start = (0, -1, 0)
+        state, chars, tokens, guess = start, 0, 0, start
+        block, sizes, last = [], [], ""
+
+        def scanned():
+            nonlocal state, chars, tokens
+            for size, prefix in zip(sizes, self.scan(block)):
+                after, count = prefix.apply(state)
+                chars += size
+                yield chars, tokens + count
+            state, tokens = after, tokens + count
+            block.clear()
+            sizes.clear()
+            self.pinned = False
+            if len(self.states) > self.STATES:
+                self.reset()
+
+        for chunk, open_, more in self.chunks(text, chunk_chars):
+            if open_:  # the state that the bytes before the cut lead to from the start: mostly the true one
+                guess = self.states[self.run(0, self.bpe.pieces(last[-WARM:])[-1].encode(), False)[0]]
+            block.append(self.chunk_map(chunk, open_, more, guess if open_ else start))
+            sizes.append(len(chunk))
+            last = chunk
+            if len(block) == self.BLOCK:
+                yield from scanned()
+        if block:
+            yield from scanned()
 
     def count(self, text: str, chunk_chars: int) -> int:
         if not text:
             return 0
-        maps = [self.chunk_map(text[k : k + chunk_chars]) for k in range(0, len(text), chunk_chars)]
-        return self.apply(self.scan(maps)[-1])
+        count = 0
+        for _, count in self.prefix_counts(text, chunk_chars):
+            pass
+        return count
+
+
+class ChunkMap:
+    """A chunk's map from entry state (by its values) to exit state and count.
+
+    Only the chunk's head, the rest of a piece that was open, depends on the entry. A head that ends in the chunk leads to a
+    state that is the same for all entries. A chunk within one piece is run once from the guessed entry, and its
+    states are kept; from another entry it's run until it falls in with them, which takes about a token's length,
+    so applying the map costs little and is always exact.
+    """
+
+    def __init__(self, of: CountTransducer, head: bytes, closed: bool, count: int, exit_: tuple | None, guess: tuple):
+        self.of, self.head, self.closed, self.inner, self.exit = of, head, closed, count, exit_
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+        self.trail = (array("i"), array("i"))
+        if head and not closed:
+            of.pinned = True
+            state, n = of.run(of.entered(guess), head, False, self.trail)
+            self.known[guess] = of.states[state], n
+
+    def apply(self, entry: tuple) -> tuple[tuple, int]:
+        if not self.head:
+            return (self.exit if self.closed else entry), self.inner
+        found = self.known.get(entry)
+        if found is None:
+            found = self.known[entry] = self.closing(entry) if self.closed else self.merging(entry)
+        return found
+
+    def closing(self, entry: tuple) -> tuple[tuple, int]:
+        return self.exit, self.inner + self.of.run(self.of.entered(entry), self.head, True)[1]
+
+    def merging(self, entry: tuple) -> tuple[tuple, int]:
+        of, states, counts = self.of, *self.trail
+        state, count = of.entered(entry), 0
+        for k in range(len(self.head)):
+            state, change = of.run(state, self.head[k : k + 1], False)
+            count += change
+            if state == states[k]:
+                return of.states[states[-1]], count + counts[-1] - counts[k]
+        return of.states[state], count
+
+    def then(self, after: "ChunkMap | Composed") -> "Composed":
+        return Composed(self, after)
+
+
+class Composed:
+    """The map of neighbouring chunks, from the maps of both parts; composition is associative."""
+
+    def __init__(self, a, b):
+        self.a, self.b, self.known = a, b, {}
+
+    def apply(self, entry: tuple) -> tuple[tuple, int]:
+        found = self.known.get(entry)
+        if found is None:
+            between, n = self.a.apply(entry)
+            after, m = self.b.apply(between)
+            found = self.known[entry] = after, n + m
+        return found
+
+    def then(self, after) -> "Composed":
+        return Composed(self, after)
 
 
 @lru_cache(maxsize=2)

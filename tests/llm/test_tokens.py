@@ -44,14 +44,56 @@ def test_encode_and_count_match_library(library):
 
 def test_state_maps_compose_associatively():
     counter = count_transducer(vocabulary())
-    maps = [counter.chunk_map(c) for c in ("the qu", "ick", " brown ", "", "fo", "x. ")if c]
-    left = maps[0]
-    for m in maps[1:]:
-        left = counter.compose(left, m)
-    right = maps[-1]
-    for m in maps[-2::-1]:
-        right = counter.compose(m, right)
-    assert counter.apply(left) == counter.apply(right) == counter.count("the quick brown fox. ", 1 << 16)
+    start = (0, -1, 0)
+    for text, size in (("the quick brown fox. " * 3, 5), ("zusammengesetztewörter" * 9, 7), ("日本語の文字列" * 40, 16), ("=" * 90 + "-" * 90, 11)):
+        parts = list(counter.chunks(text, size))
+        assert "".join(c for c, _, _ in parts) == text and len(parts) > 2
+        maps = [counter.chunk_map(c, open_, more, start) for c, open_, more in parts]
+        left = maps[0]
+        for m in maps[1:]:
+            left = left.then(m)
+        right = maps[-1]
+        for m in maps[-2::-1]:
+            right = m.then(right)
+        assert left.apply(start) == right.apply(start) == (start, counter.count(text, 1 << 16)) == (start, counter.scan(maps)[-1].apply(start)[1])
+
+
+def test_maps_are_exact_for_any_entry():
+    counter = count_transducer(vocabulary())
+    start, text = (0, -1, 0), "abcdefghijklmnopqrst" * 20
+    whole = counter.run(0, text.encode(), True)[1]
+    for cut in (3, 50, 111, 222):
+        state, n = counter.run(0, text[:cut].encode(), False)
+        for guess in (start, counter.states[state], counter.states[counter.run(0, b"zz", False)[0]]):
+            m = counter.chunk_map(text[cut:300], True, True, guess)
+            after, k = m.apply(counter.states[state])
+            assert n + k + counter.run(counter.entered(after), text[300:].encode(), True)[1] == whole
+
+
+def test_prefixes_count_what_precedes(library):
+    counter = count_transducer(vocabulary())
+    text = "some words, 123 and 日本語の文字 more. " * 30
+    *_, (chars, tokens) = counter.prefix_counts(text, 50)
+    assert chars == len(text) and tokens == len(library.encode(text, add_special_tokens=False).ids)
+    for chars, tokens in counter.prefix_counts("word " * 200, 50):
+        assert tokens == len(library.encode(("word " * 200)[:chars], add_special_tokens=False).ids)
+
+
+def test_long_unspaced_texts_are_counted_in_bounded_memory(library):
+    import tracemalloc
+
+    r, counter = random.Random(8), count_transducer(vocabulary())
+    made = lambda n: "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    for text in (made(20_000), "a" * 50_000, "=-" * 20_000, "1234567890" * 3000, "абв" * 9000 + "é" * 5000, "e\u0301" * 9000):
+        assert counter.count(text, 4096) == len(library.encode(text, add_special_tokens=False).ids)
+    peaks = []
+    for n in (300_000, 900_000):
+        text = made(n)
+        tracemalloc.start()
+        counter.count(text, 1 << 14)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + (8 << 20)
 
 
 def rows(spark):
