@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. A local master may lack one and then gets its own
@@ -19,11 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Texts vary from a word to megabytes, so Arrow batches of Spark's default of 10,000 rows can take far more
-    memory than a task has; a session that hasn't chosen a size gets 1,000."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Texts vary from a word to megabytes, so an Arrow batch is bounded by its bytes, whatever its rows. A session that
+    was given a bound keeps it; any other gets ``most``, smaller than Spark's default, for this subpackage's plans run
+    when the caller acts on them."""
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, str(most))
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

@@ -44,7 +44,7 @@ BLOCK = 2048
 FLUSH_SIGNATURES = 600_000
 KNOWN_WORDS = 100_000
 OWNED_BYTES = 16 << 20
-BITS = 1 << 24
+MOST_BITS = 1 << 28
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -273,15 +273,21 @@ def candidates(packed: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, "kind int, a long, b long, n long, key binary")
 
 
-def maybe_in(df: DataFrame, column: Column, ids: DataFrame, flag: str) -> DataFrame:
-    """``df`` with ``flag``: false where ``column`` is surely not in ``ids`` (its only column; nulls are ignored), by a
-    bitmap of BITS bits, whose broadcast has at most BITS / 64 rows whatever the input."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    name = ids.columns[0]
+def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``df`` as the struct ``row`` of its columns c0, c1, ..., and ``maybe``: false where its column ``key``, as a long, is surely not
+    in ``ids`` (its only column, of longs; nulls are ignored), by a bitmap. The bitmap has at least eight bits for each id, up to
+    MOST_BITS (a broadcast of 64 MB at most); with more ids than that fills, all rows are ``maybe``, and the join that follows
+    moves them."""
+    held = df.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)), F.lit(0).alias("none")).alias("row"), F.col(f"`{key}`").cast("long").alias("at"))
+    name, total = ids.columns[0], ids.count()
+    bits = 1 << max(16, (8 * total).bit_length())
+    if bits > MOST_BITS:
+        return held.select("row", F.lit(True).alias("maybe"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     words = ids.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     words = written(words, "bitmap")
-    marked = df.withColumn("place__", place(column)).join(F.broadcast(words), F.shiftright("place__", 6) == F.col("word"), "left")
-    return marked.withColumn(flag, F.coalesce(F.expr("(shiftright(bits, cast(place__ % 64 as int)) & 1L) = 1"), F.lit(False))).drop("place__", "word", "bits")
+    marked = held.withColumn("place", place(F.col("at"))).join(F.broadcast(words), F.shiftright("place", 6) == F.col("word"), "left")
+    return marked.select("row", F.coalesce(F.expr("(shiftright(bits, cast(place % 64 as int)) & 1L) = 1"), F.lit(False)).alias("maybe"))
 
 
 def sketch_of(sets: np.ndarray) -> bytes:
@@ -438,21 +444,24 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [shingler.set_of(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary()), batch.column(1), batch.column(2)], ["got", "set", "n", "sketch", "key", "short"])
 
-    likely = maybe_in(docs, F.col("id"), wanted.select("rep"), "likely").where(F.col("likely") | F.col("id").isNull())
-    read = likely.join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "key", "short")
+    likely = maybe_in(docs.select("id", "text"), "id", wanted.select("rep")).select(F.col("row.c0").alias("id"), F.col("row.c1").alias("text"), "maybe")
+    read = likely.where(F.col("maybe") | F.col("id").isNull()).join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "key", "short")
     made = read.where("text is not null").mapInArrow(run, "got binary, set binary, n long, sketch binary, key binary, short long")
     return made.where("got = key").select("key", "short", "n", "sketch", "set").dropDuplicates(["key"])
 
 
 def drop_near_copies(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id is their component's least (see ``link_components``), with all their columns.
+    """The rows of ``df`` whose id is their component's least (see ``link_components``), with all their columns, whatever
+    their names.
 
-    Rows without shingles stay. Rows with a null id can't be told apart and stay; rows that share a kept id
-    all stay, so exact copies should be dropped before. Only rows that a bitmap of the dropped ids can't
-    clear are shuffled.
+    Rows without shingles (null, empty and blank texts) stay. Rows with a null id can't be told apart and stay; rows
+    that share a kept id all stay, so exact copies should be dropped before. An empty table gives no rows. Only rows that a
+    bitmap of the dropped ids can't clear are shuffled.
     """
-    found = link_components(df, width=width, percent=percent, id_col=id_col, text_col=text_col)
-    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone__")).distinct(), "shingle-gone")
-    marked = maybe_in(df, F.col(id_col).cast("long"), gone, "maybe__")
-    open_rows = marked.where("maybe__").join(gone, F.col(id_col) == F.col("gone__"), "left_anti")
-    return marked.where("not maybe__").unionByName(open_rows).drop("maybe__")
+    found = link_components(df.select(id_col, text_col), width=width, percent=percent, id_col=id_col, text_col=text_col)
+    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("gone")).distinct(), "shingle-gone")
+    marked = maybe_in(df, id_col, gone)
+    key = F.col(f"row.c{df.columns.index(id_col)}").cast("long")
+    open_rows = marked.where("maybe").join(gone, key == F.col("gone"), "left_anti")
+    kept = marked.where("not maybe").unionByName(open_rows)
+    return kept.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(df.columns)))

@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from glyphmill.llm.components import connected
-from glyphmill.llm.shingle_join import Shingler, Signer, link_components, mix
+from glyphmill.llm.shingle_join import Shingler, Signer, drop_near_copies, link_components, mix
 
 
 def shingles(text, width):
@@ -131,3 +132,37 @@ def test_connected(spark):
         for u, v in edges:
             label[u] = label[v] = min(label[u], label[v])
     assert all(got.get(n, n) == label[n] for n in label)
+
+
+def test_dropping_keeps_columns_of_any_name(spark):
+    rows = corpus(5, 12)
+    names = ["word", "bits", "maybe", "maybe__", "place", "row", "gone", "gone__", "likely", "key"]
+    df = spark.createDataFrame([(d, t, *range(len(names))) for d, t in rows] + [(None, rows[0][1], *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names)).repartition(3)
+    kept = drop_near_copies(df, width=3, percent=90)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(["None", *(str(d) for d, n, c in brute(rows, 3, 90) if n == 0 or d == c)])
+    assert all(tuple(r)[2:] == tuple(range(len(names))) for r in got)
+    assert drop_near_copies(df.limit(0)).columns == df.columns and drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_bitmap_clears_only_what_is_absent(spark, monkeypatch):
+    from glyphmill.llm import shingle_join
+
+    df, ids = spark.range(3000).select(F.col("id"), F.lit("x").alias("word")), spark.range(0, 3000, 50).select(F.col("id").alias("gone"))
+    for most in (shingle_join.MOST_BITS, 1):  # beyond the bitmap's bound every row may be one
+        monkeypatch.setattr(shingle_join, "MOST_BITS", most)
+        marked = shingle_join.maybe_in(df, "id", ids).select("row.c0", "maybe").collect()
+        assert all(m for i, m in marked if i % 50 == 0) and (most == 1) == all(m for _, m in marked)
+
+
+def test_session_keeps_its_own_batch_bound(spark):
+    from glyphmill.llm.shared import BATCH_BYTES, bounded_batches
+
+    spark.conf.unset(BATCH_BYTES)
+    bounded_batches(spark)
+    assert spark.conf.get(BATCH_BYTES) == str(8 << 20)
+    spark.conf.set(BATCH_BYTES, "64m")
+    bounded_batches(spark)
+    assert spark.conf.get(BATCH_BYTES) == "64m"
+    spark.conf.unset(BATCH_BYTES)
