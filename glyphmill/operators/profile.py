@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import udfs
+from ..functions.native import WORD
 
 
 class Adapter(Protocol):
@@ -73,6 +74,18 @@ class EntropyAdapter:
         return F.when((h < 3.5) & (n < 40), "L1").when((h < 4.8) & (n < 80), "L2").otherwise("L3")
 
 
+def word_counts(text: Column) -> tuple[Column, Column]:
+    """How many words (runs of letters, digits and underscores, lower-cased) a text has, and how many different ones."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[^{WORD}]+"), lambda w: w != "")
+    return F.size(words), F.size(F.array_distinct(words))
+
+
+def type_token_ratio(text: Column) -> Column:
+    """Different words by words; 0 without words."""
+    n, types = word_counts(text)
+    return F.when(n > 0, types / n).otherwise(0.0)
+
+
 def profile_items(df: DataFrame, adapter: Adapter, text_col: str = "clean_text") -> DataFrame:
     """``df`` with the adapter's columns, ``char_len``, ``oov_rate`` (0 where the adapter has none), ``feasible``,
     ``difficulty`` and ``note``."""

@@ -169,15 +169,12 @@ def slm_profile(spark, sf_dir):
 
 
 def slm_counts(spark, sf_dir):
-    n = F.length("text")
-    return documents(spark, sf_dir).select("doc_id", F.greatest(F.lit(1), (n * F.lit(0.85)).cast("int")).cast("long").alias("estimated_tokens"), F.when(n > 0, F.size(F.array_distinct(F.split("text", "")))).otherwise(0).cast("long").alias("n_distinct"))
+    out = profile.profile_items(documents(spark, sf_dir).select("doc_id", F.col("text").alias("clean_text")), profile.EntropyAdapter())
+    return out.select("doc_id", F.col("estimated_tokens").cast("long").alias("estimated_tokens"), F.round(F.col("repetition_ratio") * 1000).cast("long").alias("repetition_permille"))
 
 
 def char_entropy(spark, sf_dir):
-    """Entropy over the whole table by grouping characters, in thousandths of a bit."""
-    chars = documents(spark, sf_dir).select("lang", F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("lang", "c").agg(F.count("*").alias("n"))
-    total = chars.groupBy("lang").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("nlogn"))
-    return total.select("lang", F.round((F.log2("total") - F.col("nlogn") / F.col("total")) * 1000).cast("long").alias("millibits"))
+    return documents(spark, sf_dir).select("doc_id", F.round(udfs.char_entropy(F.col("text")) * 1000).cast("long").alias("millibits"))
 
 
 def hash_split(spark, sf_dir):
@@ -261,8 +258,8 @@ def sharegpt_export(spark, sf_dir):
 
 
 def type_token_ratio(spark, sf_dir):
-    words = F.filter(F.split(F.lower("text"), r"[^a-zà-ÿ]+"), lambda w: w != "")
-    return documents(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_words"), F.size(F.array_distinct(words)).cast("long").alias("n_types"))
+    n, types = profile.word_counts(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", n.cast("long").alias("n_words"), types.cast("long").alias("n_types"), profile.type_token_ratio(F.col("text")).alias("ratio"))
 
 
 def normalize_full(spark, sf_dir):
@@ -319,8 +316,9 @@ _LEXICON = "(SELECT string_agg(c, '') FROM (SELECT DISTINCT unnest(regexp_extrac
 _PROFILE = f"""
     SELECT doc_id, length(t) AS total_chars, length(han) AS chinese_chars, length(oov_chars) AS oov_count, oov_chars, CASE WHEN han <> '' THEN length(oov_chars) / length(han) ELSE 0.0 END AS rate
     FROM (SELECT *, translate(han, {_LEXICON}, '') AS oov_chars
-          FROM (SELECT doc_id, t, regexp_replace(t, '[^a-z]', '', 'g') AS han FROM (SELECT doc_id, substr({TEXT}, 1, 80) AS t FROM documents)))
+          FROM (SELECT doc_id, t, regexp_replace(t, '[^a-z]', '', 'g') AS han FROM (SELECT doc_id, {TEXT} AS t FROM documents)))
 """
+_KEYS = "trunc(chinese_chars * 2.2::DOUBLE + (total_chars - chinese_chars))"
 _LEVEL = "CASE WHEN round(rate, 4) = 0 AND total_chars <= 45 THEN 'L1' WHEN round(rate, 4) <= 0.15 AND total_chars <= 85 THEN 'L2' ELSE 'L3' END"
 _MD5_SPLIT = "row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1"
 
@@ -343,16 +341,34 @@ _SCRIPTS = r"regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>
 _RUNS = "！！+|？？+|。。+|，，+|、、+|；；+|：：+|～～+"
 _COMPRESSED = _replaced(_WIDE, [(m + m + "+", m) for m in "！？。，、；：～"])
 _TYPED = f"regexp_replace({TEXT}, '([aeioumnsrlcdt]) ', '\\1'' ', 'g')"
-for _plain, _accented in native.ACCENTED.items():
+for _plain, _accented in zip("aeioumnsrlcAEIOUMNSRLC", "áéíóúḿńśŕĺćÁÉÍÓÚḾŃŚŔĹĆ"):
     _TYPED = f"replace({_TYPED}, '{_plain}''', '{_accented}')"
+for _plain in "dtDT":
+    _TYPED = f"replace({_TYPED}, '{_plain}''', '{_plain}' || chr(769))"
 _TERMS = f"'臣服 密宗 臣服 協瓦 (seva) 帕里普拉仙那 ' || {TEXT}"
 _LINE = _STRIP("line")
+_LAID = r"regexp_replace(regexp_replace(replace(" + TEXT + r", '\n', ' $ \n'), ' +\$', '', 'g'), '(?m)[ \t]+$', '', 'g')"
+for _plain, _accented in zip("aeioumnsrlcAEIOUMNSRLC", "áéíóúḿńśŕĺćÁÉÍÓÚḾŃŚŔĹĆ"):
+    _LAID = f"replace({_LAID}, '{_plain}''', '{_accented}')"
+for _plain in "dtDT":
+    _LAID = f"replace({_LAID}, '{_plain}''', '{_plain}' || chr(769))"
+_SOCIAL = rf"regexp_replace(regexp_replace('#tag one @me.x two #end, ' || {TEXT} || ' #' || lang, '#[\p{{L}}\p{{N}}_]+(?:{_SPACES}|$)', '', 'g'), '@[\p{{L}}\p{{N}}_.-]+(?:{_SPACES}|$)', '', 'g')"
+_QUOTED = f"regexp_replace({_WIDE}, '。([^。]{{1,40}})。', '。「\\1。」', 'g')"
+_UNIT = "(?:「[^」]*」|[^。！？；\n「])"
+_ENTROPY = f"""
+    SELECT d.doc_id, length(t) AS n, coalesce(h, 0.0) AS h, coalesce(k, 0) AS k FROM (SELECT doc_id, {TEXT} AS t FROM documents) d LEFT JOIN (
+        SELECT doc_id, count(*) AS k, round_even(greatest(0.0, -sum(n / total * log2(n / total))), 3) AS h FROM (
+            SELECT doc_id, c, n, sum(n) OVER (PARTITION BY doc_id) AS total FROM (
+                SELECT doc_id, c, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(regexp_extract_all({TEXT}, '(?s).')) AS c FROM documents) GROUP BY doc_id, c))
+        GROUP BY doc_id) e USING (doc_id)
+"""
+_TOKENS = "greatest(1, trunc(n * 0.85::DOUBLE))::BIGINT"
 
 ORACLE_SQL: dict[str, str] = {
     "strip_contacts": _contacts_sql(),
     "strip_html_tags": f"SELECT page_id, md5(regexp_replace({_SCRIPTS}, '<[^>]+>', ' ', 'g')) AS text_md5, len(regexp_extract_all({_SCRIPTS}, '<[^>]+>')) AS n_tags FROM pages",
     "strip_markdown": "SELECT doc_id, md5(" + _replaced(f"'![pic](a b) [' || substr({TEXT}, 1, 40) || '](u) |---|:-:| ' || {TEXT}", [(r"!*\[([^\]]*)\]\([^)]+\)", r"\1"), (r"\|(?:\s*:?-+:?\s*\|)+", "")]) + ") AS text_md5 FROM documents",
-    "strip_social": "SELECT doc_id, 'one two #end, ' || lang || ' ' AS text FROM documents",
+    "strip_social": f"SELECT doc_id, {_SOCIAL} AS text FROM documents",
     "compress_punct": f"SELECT doc_id, md5({_COMPRESSED}) AS text_md5, len(regexp_extract_all({_WIDE}, '{_RUNS}')) AS n_runs FROM documents",
     "strip_invisible": rf"SELECT doc_id, md5(regexp_replace(d, '[\x{{200b}}-\x{{200f}}\x{{feff}}\x{{ad}}\x{{2060}}\x{{202a}}-\x{{202e}}\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')) AS text_md5, len(regexp_extract_all(d, '[\x{{200b}}-\x{{200f}}\x{{feff}}\x{{ad}}\x{{2060}}\x{{202a}}-\x{{202e}}\x00-\x08\x0b\x0c\x0e-\x1f\x7f]')) AS n_stripped FROM (SELECT doc_id, replace({TEXT}, ' ', ' ' || chr(8203) || chr(65279)) AS d FROM documents)",
     "fullwidth": f"SELECT doc_id, md5({TEXT}) AS text_md5 FROM documents",
@@ -364,10 +380,12 @@ ORACLE_SQL: dict[str, str] = {
         GROUP BY doc_id
     """,
     "segment_sentences": f"SELECT doc_id, count(*) AS n_sentences, sum(length(s))::BIGINT AS n_chars, max(length(s)) AS longest FROM ({_SENTENCES}) GROUP BY doc_id",
+    "segment_quoted": f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS sent_ord, s AS sentence FROM (SELECT doc_id, k, {_STRIP('part')} AS s FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM (SELECT doc_id, regexp_extract_all({_QUOTED}, '{_UNIT}*[。！？；\n][。！？；\n」』”》】）]*|{_UNIT}+$') AS parts FROM documents))) WHERE s <> ''",
+    "discourse_layout": f"SELECT doc_id, {_STRIP(_LAID)} AS text FROM documents",
     "drop_reasons": f"SELECT {_REASON} AS reason, count(*) AS n FROM ({_SENTENCES}) GROUP BY 1",
     "require_chinese": f"""
-        SELECT doc_id, CASE WHEN length(s) < 6 THEN 'short' WHEN NOT regexp_matches(s, '[一-鿿]') THEN 'non_chinese' ELSE 'passed' END AS reason FROM (
-            SELECT doc_id, {_STRIP(f"substr(CASE WHEN doc_id % 7 = 0 THEN '中文' || {TEXT} ELSE {TEXT} END, 1, 100)")} AS s FROM documents)
+        SELECT doc_id, CASE WHEN length(s) < 6 THEN 'short' WHEN length(s) > 120 THEN 'long' WHEN NOT regexp_matches(s, '[一-鿿]') THEN 'non_chinese' ELSE 'passed' END AS reason FROM (
+            SELECT doc_id, {_STRIP(f"(CASE WHEN doc_id % 7 = 0 THEN '中文' || {TEXT} ELSE {TEXT} END)")} AS s FROM documents)
     """,
     "dedup_first": f"""
         SELECT printf('%d_%04d', doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord)) AS corpus_id, md5(s) AS sentence_md5 FROM (
@@ -377,11 +395,13 @@ ORACLE_SQL: dict[str, str] = {
     "dedup_in_document": f"SELECT doc_id, count(*) AS n_kept, sum(length(s))::BIGINT AS n_chars FROM (SELECT DISTINCT doc_id, s FROM ({_SENTENCES}) WHERE {_REASON} = 'passed') GROUP BY doc_id",
     "registry_new": "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)",
     "registry_known": "SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 2 = 0)",
-    "file_names": rf"""SELECT doc_id, CASE WHEN n = '' THEN 'untitled' ELSE substr(n, 1, 40) END AS name FROM (SELECT doc_id, replace({_STRIP(f"regexp_replace(substr({TEXT}, 1, 60), '[\\/*?:" + '"' + "<>|]', '', 'g')")}, ' ', '_') AS n FROM documents)""",
+    "file_names": rf"""SELECT doc_id, CASE WHEN n = '' THEN 'untitled' ELSE substr(n, 1, 40) END AS name FROM (SELECT doc_id, replace({_STRIP(f"regexp_replace({TEXT}, '[\\/*?:" + '"' + "<>|]', '', 'g')")}, ' ', '_') AS n FROM documents)""",
     "lexicon_oov": f"SELECT doc_id, total_chars, chinese_chars, oov_count, trunc(chinese_chars * 2.2::DOUBLE + (total_chars - chinese_chars))::BIGINT AS key_count, substr(oov_chars, 1, 5) AS oov_sample, {_LEVEL} AS difficulty, total_chars > 0 AS feasible FROM ({_PROFILE})",
+    "lexicon_rates": f"SELECT doc_id, round_even(rate, 4) AS oov_rate, round_even({_KEYS} / greatest(1, total_chars), 2) AS expansion_ratio, CASE WHEN round_even(rate, 4) > 0 THEN '含未登錄字(' || substr(oov_chars, 1, 5) || ')' ELSE '詞庫全覆蓋' END AS note FROM ({_PROFILE})",
     "batch_summary": f"SELECT count(*) AS total_sentences, count(*) FILTER (total_chars > 0) AS feasible_count, count(*) FILTER ({_LEVEL} = 'L1') AS l1_easy, count(*) FILTER ({_LEVEL} = 'L2') AS l2_medium, count(*) FILTER ({_LEVEL} = 'L3') AS l3_hard FROM ({_PROFILE})",
-    "slm_counts": f"SELECT doc_id, greatest(1, trunc(length({TEXT}) * 0.85::DOUBLE))::BIGINT AS estimated_tokens, len(list_distinct(regexp_extract_all({TEXT}, '(?s).'))) AS n_distinct FROM documents",
-    "char_entropy": f"SELECT lang, round((log2(sum(n)) - sum(n * log2(n)) / sum(n)) * 1000)::BIGINT AS millibits FROM (SELECT lang, c, count(*)::DOUBLE AS n FROM (SELECT lang, unnest(regexp_extract_all({TEXT}, '(?s).')) AS c FROM documents) GROUP BY lang, c) GROUP BY lang",
+    "slm_counts": f"SELECT doc_id, {_TOKENS} AS estimated_tokens, round(round_even(1 - k / greatest(1, n), 3) * 1000)::BIGINT AS repetition_permille FROM ({_ENTROPY})",
+    "slm_profile": f"SELECT doc_id, h AS char_entropy, {_TOKENS} AS estimated_tokens, round_even(1 - k / greatest(1, n), 3) AS repetition_ratio, CASE WHEN h < 3.5 AND n < 40 THEN 'L1' WHEN h < 4.8 AND n < 80 THEN 'L2' ELSE 'L3' END AS difficulty, n > 0 AND h > 1.5 AS feasible FROM ({_ENTROPY})",
+    "char_entropy": f"SELECT doc_id, round(h * 1000)::BIGINT AS millibits FROM ({_ENTROPY})",
     "hash_split": f"SELECT doc_id, pos, CASE WHEN pos < trunc(n * 0.8::DOUBLE) THEN 'calibration' WHEN pos < trunc(n * 0.8::DOUBLE) + trunc(n * 0.1::DOUBLE) THEN 'validation' ELSE 'benchmark' END AS split FROM (SELECT doc_id, {_MD5_SPLIT} AS pos, count(*) OVER () AS n FROM documents)",
     "term_rewrite": "SELECT doc_id, md5(" + _replaced(_TERMS, [(p, n) for p, n in terms.RULES]) + ") AS text_md5, 2::BIGINT AS n_first FROM documents",
     "legacy_terms": "SELECT doc_id, unnest(['Tantra', 'Dharma']) AS term, unnest(['密教', '宗教']) AS legacy, unnest(['搪碴', '法性']) AS canonical FROM documents WHERE doc_id % 3 = 0",
@@ -394,11 +414,11 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
     """,
     "tsv_columns": rf"SELECT printf('d_%04d', doc_id) AS CORPUS_ID, 'general' AS CATEGORY, 'L1' AS DIFFICULTY, length({TEXT})::VARCHAR AS CHAR_LEN, printf('%.4f', round(length({TEXT}) / 65536, 4)) AS OOV_RATE, translate({TEXT}, chr(9) || chr(10) || chr(13), '  ') AS CLEAN_TEXT, CASE WHEN doc_id % 2 = 0 THEN 'YES' ELSE 'NO' END AS FEASIBLE_RUHI, 'a b' AS NOTE FROM documents",
-    "pair_columns": f"SELECT 'pair_' || doc_id AS PAIR_ID, 'f.txt' AS SOURCE_FILE, translate(substr({TEXT}, 1, 50), chr(9), ' ') AS EN_TEXT, '中 文' AS ZH_TEXT, '' AS IT_TEXT, 'c' AS CITATION_EN, '' AS CITATION_ZH, length(substr({TEXT}, 1, 50))::VARCHAR AS EN_CHAR_LEN, '3' AS ZH_CHAR_LEN FROM documents",
-    "alpaca_export": r"""SELECT '{"instruction":"continue","input":"' || regexp_replace(substr(text, 1, 60), '[\x00-\x1f"\\/]', ' ', 'g') || '","output":"ok"}' AS value FROM benchmark WHERE text IS NOT NULL""",
+    "pair_columns": f"SELECT 'pair_' || doc_id AS PAIR_ID, 'f.txt' AS SOURCE_FILE, translate({TEXT}, chr(9), ' ') AS EN_TEXT, '中 文' AS ZH_TEXT, '' AS IT_TEXT, 'c' AS CITATION_EN, '' AS CITATION_ZH, length({TEXT})::VARCHAR AS EN_CHAR_LEN, '3' AS ZH_CHAR_LEN FROM documents",
+    "alpaca_export": r"""SELECT '{"instruction":"continue","input":"' || regexp_replace(coalesce(text, ''), '[\x00-\x1f"\\/]', ' ', 'g') || '","output":"ok"}' AS value FROM benchmark""",
     "sharegpt_export": r"""
         SELECT conv_id, '{"conversations":[' || string_agg('{"from":"' || CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END || '","value":"' || regexp_replace(coalesce(text, ''), '[\x00-\x1f"\\/]', ' ', 'g') || '"}', ',' ORDER BY turn) || ']}' AS value
         FROM conversations GROUP BY conv_id
     """,
-    "type_token_ratio": f"SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_types FROM (SELECT doc_id, regexp_extract_all(lower({TEXT}), '[a-zà-ÿ]+') AS w FROM documents)",
+    "type_token_ratio": f"SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_types, CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0.0 END AS ratio FROM (SELECT doc_id, regexp_extract_all(lower({TEXT}), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents)",
 }
