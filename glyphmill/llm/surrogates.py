@@ -415,7 +415,7 @@ def any_of(said: Column) -> Column:
 def losers_among(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``known`` (as ``known_as``) of the entities that share the canonical surrogate of a lesser one. ``entities``: distinct,
     in column ``entity``; dealt evenly, as few rows can be much work."""
-    spread = entities.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity")
+    spread = entities.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("entity"))
     made = spread.select("entity", kind_of(F.col("entity")).alias("kind")).select("kind", canonical(F.col("entity"), F.col("kind")).alias("canonical"), surrogate(F.col("entity"), key).alias("new"))
     shown = F.when(F.col("kind") == "name", F.lower(F.regexp_replace("new", rf"^(?:{_TITLE})\.?[ ]", ""))).otherwise(canonical(F.col("new"), F.col("kind")))
     compared = written(made.select(F.concat_ws("\x1f", "kind", "canonical").alias("known"), shown.alias("shown")), "pii-surrogates")
