@@ -2,7 +2,7 @@
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import udfs
@@ -23,6 +23,12 @@ def known_chars(lexicon: DataFrame, word_col: str = "word") -> str:
     return "".join(r.c for r in rows)
 
 
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """``word``: the first cell of each line of a tab-separated lexicon."""
+    words = spark.read.text(path).select(F.trim(F.element_at(F.split("value", "\t"), 1)).alias("word"))
+    return words.where("word <> ''")
+
+
 class LexiconAdapter:
     """Coverage of Han characters by a lexicon. ``inside``: the class of the characters that count."""
 

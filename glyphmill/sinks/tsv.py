@@ -1,5 +1,7 @@
 """Tab-separated exports and instruction formats."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +37,30 @@ def write_tsv(df: DataFrame, path: str, single: bool = False, order: list | None
     df.write.mode("overwrite").csv(path, sep="\t", header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_splits(df: DataFrame, folder: str, prefix: str = "corpus", single: bool = True) -> None:
-    """Items with ``split`` and ``pos`` as one table for each split, each in the order of ``pos``."""
+def write_file(df: DataFrame, path: str, order: list) -> None:
+    """``df``, which must fit one task, as one ordered tab-separated file ``path`` with a header. It's written beside its place
+    and then renamed."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    write_tsv(df, beside, single=True, order=order)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    folder, target = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(conf)
+    part = next(f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    system.delete(target, True)
+    system.rename(part, target)
+    system.delete(jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.crc"), False)  # a local file system's
+    system.delete(folder, True)
+
+
+def write_splits(df: DataFrame, folder: str, prefix: str = "corpus", single: bool = False) -> None:
+    """Items with ``split`` and ``pos`` as one table for each split: a folder of files or, if ``single``, for tables that fit one
+    task, one file in the order of ``pos``."""
     for name, suffix in SPLIT_FILES.items():
-        part = df.where(F.col("split") == name)
-        write_tsv(item_columns(part.orderBy("pos")) if single else item_columns(part), f"{folder}/{prefix}_{suffix}.tsv", single)
+        part, path = df.where(F.col("split") == name), f"{folder}/{prefix}_{suffix}.tsv"
+        if single:
+            write_file(item_columns(part.orderBy("pos")), path, [])
+        else:
+            write_tsv(item_columns(part), path)
 
 
 def to_alpaca(df: DataFrame, instruction: Column, given: Column, output: Column) -> DataFrame:

@@ -200,3 +200,18 @@ def test_command_line(spark, tmp_path, monkeypatch):
     cli.main(["split", f"{tmp_path}/clean", "-o", f"{tmp_path}/splits", "--train-ratio", "0.67", "--val-ratio", "0"])
     sizes = {p.name: files.read_clean_tsv(spark, str(p)).count() for p in (tmp_path / "splits").iterdir()}
     assert sizes == {"corpus_calibration.tsv": 2, "corpus_validation.tsv": 0, "corpus_benchmark_gold.tsv": 1}
+
+
+def test_command_line_split_is_the_seeded_one(spark, tmp_path):
+    from glyphmill import cli
+
+    header = "\t".join(tsv.ITEM_HEADER)
+    lines = [f"c{k}\tg\tL1\t5\t0.0000\ttext{k}\tYES\t" for k in range(1, 9)]
+    (tmp_path / "t.tsv").write_text("\n".join([header, *lines]) + "\n")
+    cli.main(["split", f"{tmp_path}/t.tsv", "-o", f"{tmp_path}/s"])
+    ids = {p.name: [x.split("\t")[0] for x in p.read_text().splitlines()[1:]] for p in (tmp_path / "s").glob("*.tsv")}
+    assert ids == {"corpus_calibration.tsv": ["c4", "c5", "c7", "c8", "c3", "c6"], "corpus_validation.tsv": [], "corpus_benchmark_gold.tsv": ["c1", "c2"]}
+    (tmp_path / "lexicon.tsv").write_text("text\tx\n\n")
+    cli.main(["profile", f"{tmp_path}/t.tsv", "--lexicon", f"{tmp_path}/lexicon.tsv"])
+    cli.main(["export", f"{tmp_path}/t.tsv", "-o", f"{tmp_path}/lines", "--instruction", "say"])
+    assert sorted(json.loads(r.value)["input"] for r in spark.read.text(f"{tmp_path}/lines").collect()) == [f"text{k}" for k in range(1, 9)]
