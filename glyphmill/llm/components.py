@@ -5,6 +5,24 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
+HUB_SHARE = 1000
+PIECE_SHARE = 4000
+
+
+def with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` (columns ``u``, ``v``) with ``m``, the least of each ``u`` and its neighbours ``v``.
+
+    A hub, i.e. a node with over 1 / HUB_SHARE of the ``total`` edges, has them dealt to pieces of about 1 / PIECE_SHARE of all, so
+    no key brings a task more. There are fewer than HUB_SHARE hubs at any size, which bounds their broadcast; together they make fewer
+    than PIECE_SHARE + HUB_SHARE pieces.
+    """
+    near = edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).select("u", F.least("u", "least").alias("m"), "n")
+    hubs = near.where(F.col("n") * HUB_SHARE > total).select("u", F.least("n", F.ceil(F.col("n") * PIECE_SHARE / total)).cast("int").alias("pieces"))
+    pieces = F.coalesce("pieces", F.lit(1))
+    dealt = edges.join(F.broadcast(hubs), "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), pieces).cast("int").alias("piece"))
+    targets = near.join(F.broadcast(hubs), "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    return dealt.join(targets, ["u", "piece"]).select("u", "v", "m")
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (its component's least node) for every node of ``edges`` (columns ``u``, ``v`` of one
@@ -15,16 +33,15 @@ def connected(edges: DataFrame) -> DataFrame:
     folder. Loops and repeated edges don't matter; without edges there are no rows.
     """
     stars = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    before = None
-    while True:
+    before, total = None, stars.count()
+    while total:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "stars")
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = written(hung.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        hung = with_least(large, large.count()).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        stars = written(hung.distinct(), "stars")
         state = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first()
         if state == before:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+            break
+        before, total = state, state[0]
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))

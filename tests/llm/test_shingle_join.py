@@ -134,6 +134,20 @@ def test_connected(spark):
     assert all(got.get(n, n) == label[n] for n in label)
 
 
+def test_connected_deals_hubs_to_pieces(spark, monkeypatch):
+    from glyphmill.llm import components
+
+    monkeypatch.setattr(components, "HUB_SHARE", 20)
+    monkeypatch.setattr(components, "PIECE_SHARE", 40)
+    edges = [(500, k) for k in range(1, 400)] + [(0, k) for k in range(600, 700)] + [(k, k + 1) for k in range(800, 820)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = components.with_least(df, len(edges)).collect()
+    assert sorted((r.u, r.v, r.m) for r in got) == sorted((u, v, min(u, *(y for x, y in edges if x == u))) for u, v in edges)
+    root = {x.node: x.root for x in components.connected(df).collect()}
+    assert root == {**{k: 1 for k in [*range(2, 400), 500]}, **{k: 0 for k in range(600, 700)}, **{k: 800 for k in range(801, 821)}}
+    assert components.connected(df.limit(0)).count() == 0
+
+
 def test_dropping_keeps_columns_of_any_name(spark):
     rows = corpus(5, 12)
     names = ["word", "bits", "maybe", "maybe__", "place", "row", "gone", "gone__", "likely", "key"]
