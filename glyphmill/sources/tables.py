@@ -2,10 +2,12 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+DEAL = "glyphmill.scan.partitions"
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's rows. Where its scan has fewer partitions than the cluster has cores, i.e. a few megabytes for
-    each at most, they're dealt to as many partitions; a larger table is read as it lies, without a shuffle."""
+    """A table's rows, dealt as its files and ``spark.sql.files.maxPartitionBytes`` say, whatever its size. A session that
+    sets DEAL gets every table dealt anew to as many partitions: for files whose few row groups would keep most cores idle."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    deal = spark.conf.get(DEAL, None)
+    return df.repartition(int(deal)) if deal else df
