@@ -14,13 +14,15 @@ def with_least(edges: DataFrame, total: int) -> DataFrame:
 
     A hub, i.e. a node with over 1 / HUB_SHARE of the ``total`` edges, has them dealt to pieces of about 1 / PIECE_SHARE of all, so
     no key brings a task more. There are fewer than HUB_SHARE hubs at any size, which bounds their broadcast; together they make fewer
-    than PIECE_SHARE + HUB_SHARE pieces.
+    than PIECE_SHARE + HUB_SHARE pieces. They're looked up by a hash, as a map of longs takes executors its few bytes and one of
+    binary keys a memory page; a node that shares a hub's hash is dealt likewise, on both sides.
     """
     near = edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n")).select("u", F.least("u", "least").alias("m"), "n")
-    hubs = near.where(F.col("n") * HUB_SHARE > total).select("u", F.least("n", F.ceil(F.col("n") * PIECE_SHARE / total)).cast("int").alias("pieces"))
+    at = F.xxhash64("u").alias("at")
+    hubs = near.where(F.col("n") * HUB_SHARE > total).select(at, F.least("n", F.ceil(F.col("n") * PIECE_SHARE / total)).cast("int").alias("pieces")).groupBy("at").agg(F.max("pieces").alias("pieces"))
     pieces = F.coalesce("pieces", F.lit(1))
-    dealt = edges.join(F.broadcast(hubs), "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), pieces).cast("int").alias("piece"))
-    targets = near.join(F.broadcast(hubs), "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    dealt = edges.select("*", at).join(F.broadcast(hubs), "at", "left").select("u", "v", F.pmod(F.xxhash64("v"), pieces).cast("int").alias("piece"))
+    targets = near.select("*", at).join(F.broadcast(hubs), "at", "left").select("u", "m", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
     return dealt.join(targets, ["u", "piece"]).select("u", "v", "m")
 
 
