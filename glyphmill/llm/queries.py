@@ -104,4 +104,22 @@ ORACLE_SQL: dict[str, str] = {
             FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         )
     """,
+    # code points in a turn: both control strings, the newline after the role, and one more for each escaped run
+    "op9_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+            UNION ALL
+            SELECT -1, n, who, '</s>[INST] ok [/INST]', who, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(n, who)
+        )
+        SELECT
+            conv_id, count(*) AS n_turns,
+            sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+            CAST(coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(
+                length('<|role|>') + length(r) + len(regexp_extract_all(r, '<\\*\|')) + (length(r) - length(replace(r, chr(10), ''))) * (length('<|newline|>') - 1)
+                + 1 + length(t) + len(regexp_extract_all(t, '<\\*\|')) + length('<|end|>') + 1
+            ) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id
+    """,
 }
