@@ -2,6 +2,7 @@
 
 import argparse
 import dataclasses
+import importlib
 import time
 
 from pyspark import StorageLevel
@@ -45,6 +46,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("target", nargs="+")
         p.add_argument("--rss", action="store_true")
         p.add_argument("--wiki", action="store_true")
+        p.add_argument("--variant", default="zh-tw", help="of Chinese, for --wiki")
+        p.add_argument("--extractor", help="module:function that makes a page's text of its HTML")
         p.add_argument("--max-items", type=int, default=10)
         p.add_argument("--overwrite", action="store_true")
         if name == "fetch":
@@ -76,14 +79,17 @@ def lexicon_adapter(spark: SparkSession, path: str | None) -> profile.LexiconAda
     return profile.LexiconAdapter(profile.known_chars(profile.read_lexicon(spark, path)) if path else "")
 
 
+def named_function(name: str | None):
+    """What ``module:function`` names."""
+    module, _, function = (name or "").partition(":")
+    return getattr(importlib.import_module(module), function) if name else None
+
+
 def fetched(spark: SparkSession, a: argparse.Namespace):
     """Documents ``source_id`` to ``error_message`` (see FETCH_SCHEMA) for the targets of fetch and harvest."""
-    from urllib.parse import quote, urlencode
-
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     if a.wiki:
-        ask = lambda t: "https://zh.wikipedia.org/w/api.php?" + urlencode({"action": "query", "format": "json", "titles": t, "prop": "extracts", "explaintext": 1, "redirects": 1, "uselang": "zh-tw"})
-        urls = spark.createDataFrame([(t, "https://zh.wikipedia.org/wiki/" + quote(t), ask(t)) for t in a.target], "title string, origin_url string, url string")
+        urls = feeds.wiki_questions(spark, a.target, a.variant)
         got = feeds.fetch(urls).withColumnRenamed("html", "json")
         docs = feeds.wiki_documents(got).join(urls.select(F.col("title").alias("asked"), "origin_url"), "asked").select("success", "origin_url", "title", "text", "license", "error_message")
         kind = "wiki"
@@ -95,7 +101,7 @@ def fetched(spark: SparkSession, a: argparse.Namespace):
         kind = "rss"
     else:
         got = feeds.fetch(spark.createDataFrame([(t,) for t in a.target], "url string"))
-        page = feeds.extract_html(F.col("html"))
+        page = feeds.extract_html(F.col("html"), named_function(a.extractor))
         docs = got.withColumn("p", page).select("success", F.col("url").alias("origin_url"), F.coalesce("p.title", F.lit("")).alias("title"), F.col("p.body").alias("text"), F.lit("Unknown").alias("license"), "error_message")
         kind = "web"
     source_id = F.concat(F.lit(f"{kind}_"), F.substring(F.md5("origin_url"), 1, 8))

@@ -132,6 +132,9 @@ def test_pages(spark):
     assert feeds.main_text(None) == ("", "")
     row = spark.createDataFrame([(PAGE,)], "html string").select(feeds.extract_html(F.col("html")).alias("x")).first().x
     assert row.title == "測試 標題"
+    loud = lambda html: html.upper() if "內文" in html else None
+    both = spark.createDataFrame([(PAGE,), ("<p>plain text</p>",), (None,)], "html string").select(feeds.extract_html(F.col("html"), loud).alias("x")).collect()
+    assert [(r.x.title, r.x.body) for r in both] == [("測試 標題", PAGE.upper()), ("", "plain text"), ("", "")]
 
 
 RSS = """garbage<rss version="2.0" xmlns:c="http://purl.org/rss/1.0/modules/content/"><channel><title>t</title><item><title> 一 </title><link>https://e.org/1</link><description>摘要&lt;b&gt;甲&lt;/b&gt;</description></item>
@@ -158,6 +161,11 @@ def test_wiki(spark):
     assert got == {"猫": (True, "貓", "# 貓\n\n內文"), "無": (False, "無", None), "壞": (False, "壞", None), "空": (False, "空", None)}
 
 
+def test_wiki_questions(spark):
+    row = feeds.wiki_questions(spark, ["貓 科"], "zh-hk").first()
+    assert row.origin_url.endswith("/wiki/%E8%B2%93%20%E7%A7%91") and "uselang=zh-hk" in row.url and "titles=%E8%B2%93+%E7%A7%91" in row.url
+
+
 def test_fetch_failure_and_charset(spark):
     row = feeds.fetch(spark.createDataFrame([("http://127.0.0.1:9/none",)], "url string"), timeout=2).first()
     assert row.success is False and row.error_message
