@@ -44,6 +44,7 @@ BLOCK = 2048
 FLUSH_SIGNATURES = 600_000
 KNOWN_WORDS = 100_000
 OWNED_BYTES = 16 << 20
+SLICE_BITS = 3
 MOST_BITS = 1 << 28
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -247,7 +248,7 @@ def candidates(packed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         names = ["kind", "a", "b", "n", "key"]
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -260,12 +261,16 @@ def candidates(packed: DataFrame) -> DataFrame:
                 _, m, n = struct.unpack_from("<cII", data)
                 ids = np.frombuffer(data, "<u8", m, 9)
                 sig = np.frombuffer(data, "<u4", n, 9 + 8 * m)
-                held.setdefault(part, []).append((sig.copy(), ids[np.frombuffer(data, "<u2", n, 9 + 8 * m + 4 * n)]))
-        while held:
-            part, got = held.popitem()
-            a, b, bucket, member = bucket_pairs(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
-            bucket = bucket.astype(np.uint64) | np.uint64(part) << np.uint64(32)
-            for kind, x, y in ((0, a, b), (1, bucket, member)):
+                held.setdefault(part, []).append((sig.copy(), ids.copy(), np.frombuffer(data, "<u2", n, 9 + 8 * m + 4 * n).copy()))
+        # a bucket lies in one slice, by its signature's leading bits, so what sorting takes is a slice's share
+        for part, got in held.items():
+            found: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for begin in range(1 << SLICE_BITS):
+                mine = [(sig[at], ids[local[at]]) for sig, ids, local in got for at in [np.flatnonzero(sig >> (32 - SLICE_BITS) == begin)]]
+                a, b, bucket, member = bucket_pairs(np.concatenate([m[0] for m in mine]), np.concatenate([m[1] for m in mine]))
+                found += [(0, a, b), (1, bucket.astype(np.uint64) | np.uint64(part) << np.uint64(32), member)]
+            pairs = np.unique(np.stack([np.concatenate([x[k] for x in found if x[0] == 0]) for k in (1, 2)], axis=1), axis=0)
+            for kind, x, y in [(0, pairs[:, 0].copy(), pairs[:, 1].copy()), *(f for f in found if f[0] == 1)]:
                 for k in range(0, len(x), 50_000):
                     p, q = x[k : k + 50_000].view(np.int64), y[k : k + 50_000].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), pa.array(p), pa.array(q), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.binary())], names)
