@@ -1,22 +1,28 @@
-"""Arrow functions for what Spark has no expression for. Each passes whole batches."""
+"""Arrow functions for what Spark has no expression for. Each takes batches by pieces of bounded bytes, so that what a
+worker holds follows neither the number of rows in a batch nor the table's size."""
 
+import ctypes
 import html
 import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 #: Marks that end a sentence, and pairs that protect what they enclose.
 TERMINATORS = "。！？；\n"
 PAIRS = dict(zip("「『“《【（", "」』”》】）"))
 MARK = re.compile(f"[{TERMINATORS}{''.join(PAIRS)}{''.join(PAIRS.values())}]")
 TRAIL = re.compile(f"[{TERMINATORS}{''.join(PAIRS.values())}]*")
+MOST_BYTES = 1 << 20
 ENCODINGS = ("utf-8", "utf-8-sig", "big5", "cp950", "gb18030", "utf-16")
 
 
@@ -59,39 +65,73 @@ def entropy_of(text: str | None) -> float:
     return round(-sum(k / n * math.log2(k / n) for k in Counter(text).values()), 3) + 0.0 if n else 0.0
 
 
-@pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def trim() -> None:
+    """Gives back what earlier tasks of this worker freed; allocators keep pages otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
-@pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
+def pieces(batches: Iterator[pa.Array], most: int = MOST_BYTES) -> Iterator[pa.Array]:
+    """The same values in arrays of at most ``most`` bytes (one value at least)."""
+    trim()
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < len(batch):
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+        if not len(batch):
+            yield batch
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def _protected(texts: pd.Series) -> pd.Series:
-    return texts.map(split_sentences)
+def mapped(batches: Iterator[pa.Array], f: Callable, kind: pa.DataType) -> Iterator[pa.Array]:
+    """``f`` of every value, by pieces."""
+    for piece in pieces(batches):
+        yield pa.array(map(f, piece.to_pylist()), kind, size=len(piece))
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def _unprotected(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: split_sentences(t, False))
+def _kept_null(f: Callable) -> Callable:
+    return lambda t: None if t is None else f(t)
 
 
-@pandas_udf(T.DoubleType())
-def _entropy(texts: pd.Series) -> pd.Series:
-    return texts.map(entropy_of)
+def nfkc_of(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
 
-@pandas_udf(T.DoubleType())
-def _rounded(values: pd.Series, digits: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else round(float(v), int(d)) for v, d in zip(values, digits)], dtype="float64")
+@arrow_udf(T.StringType())
+def _unescape(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return mapped(texts, _kept_null(html.unescape), pa.string())
 
 
-@pandas_udf(texts_struct("text", "encoding"))
-def _decoded(data: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([decode_bytes(bytes(d)) if d is not None else (None, None) for d in data], columns=["text", "encoding"])
+@arrow_udf(T.StringType())
+def _nfkc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return mapped(texts, _kept_null(nfkc_of), pa.string())
+
+
+@arrow_udf(T.ArrayType(T.StringType()))
+def _protected(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return mapped(texts, split_sentences, pa.list_(pa.string()))
+
+
+@arrow_udf(T.ArrayType(T.StringType()))
+def _unprotected(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return mapped(texts, lambda t: split_sentences(t, False), pa.list_(pa.string()))
+
+
+@arrow_udf(T.DoubleType())
+def _entropy(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return mapped(texts, entropy_of, pa.float64())
+
+
+@arrow_udf(texts_struct("text", "encoding"))
+def _decoded(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.struct([("text", pa.string()), ("encoding", pa.string())])
+    return mapped(data, lambda d: dict(zip(("text", "encoding"), (None, None) if d is None else decode_bytes(d))), kind)
 
 
 def html_unescape(c: Column) -> Column:
@@ -114,9 +154,39 @@ def char_entropy(c: Column) -> Column:
     return _entropy(F.coalesce(c, F.lit("")))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that it names several times, computed once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _parts(c: Column, digits: int) -> tuple[Column, Column, Column]:
+    """Whole part, digits after the point, and what is left of them in units of 2**-60, all exact for values from 0 on with at
+    most 15 digits. The fraction times 2**60 is a whole number unless it's below 2**-7, where no half is one."""
+    whole = F.floor(c)
+    bits = ((c - whole) * float(1 << 60)).cast("long")
+    low, ten = F.lit((1 << 30) - 1), F.lit(10**digits)
+    down = bits.bitwiseAND(low) * ten
+    up = F.shiftright(bits, 30) * ten + F.shiftright(down, 30)
+    return whole, F.shiftright(up, 30), F.shiftleft(up.bitwiseAND(low), 30) + down.bitwiseAND(low)
+
+
+def _binary_even(c: Column, digits: int) -> Column:
+    whole, kept, rest = _parts(F.abs(c), digits)
+    half = F.lit(1 << 59)
+    units = whole * F.lit(10**digits) + kept
+    up = (rest > half) | ((rest == half) & (units % 2 == 1))
+    return F.when(F.isnan(c) | (F.abs(c) >= float(10**15) / 10**digits), c).otherwise(F.signum(c) * (units + up.cast("long")) / float(10**digits))
+
+
 def py_round(c: Column, digits: int) -> Column:
     """Rounds the exact binary value, ties to even: neither round() nor bround() of Spark does."""
-    return _rounded(c.cast("double"), F.lit(digits))
+    return once(c.cast("double"), lambda x: _binary_even(x, digits))
+
+
+def even_round(c: Column, digits: int) -> Column:
+    """Rounds the scaled value, ties to even, as round_even() of SQL engines: a value that is a tie once scaled goes to the even
+    neighbour, though its binary value may lie on either side of the tie."""
+    return F.rint(c.cast("double") * float(10**digits)) / float(10**digits)
 
 
 def decode_fallback(c: Column) -> Column:

@@ -1,5 +1,6 @@
 """Profiles of sentences, their summaries, and the interface for other profiles."""
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +31,11 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 class LexiconAdapter:
-    """Coverage of Han characters by a lexicon. ``inside``: the class of the characters that count."""
+    """Coverage of Han characters by a lexicon. ``inside``: the class of the characters that count. ``rounded``: how rates
+    are rounded (``udfs.even_round``: as SQL does)."""
 
-    def __init__(self, known: str = "", inside: str = r"\x{4e00}-\x{9fff}", keys: Column | None = None):
-        self.known, self.inside, self.keys = known, inside, keys
+    def __init__(self, known: str = "", inside: str = r"\x{4e00}-\x{9fff}", keys: Column | None = None, rounded: Callable[[Column, int], Column] = udfs.py_round):
+        self.known, self.inside, self.keys, self.rounded = known, inside, keys, rounded
 
     def profile(self, text: Column) -> dict[str, Column]:
         counted = F.regexp_replace(text, f"[^{self.inside}]", "")
@@ -45,9 +47,9 @@ class LexiconAdapter:
             "chinese_chars": han,
             "oov_count": oov,
             "oov_chars": missing,
-            "oov_rate": udfs.py_round(F.when(han > 0, oov / han).otherwise(0.0), 4),
+            "oov_rate": self.rounded(F.when(han > 0, oov / han).otherwise(0.0), 4),
             "key_count": keys,
-            "expansion_ratio": udfs.py_round(keys / F.greatest(n, F.lit(1)), 2),
+            "expansion_ratio": self.rounded(keys / F.greatest(n, F.lit(1)), 2),
             "feasible": n > 0,
         }
 
@@ -60,7 +62,10 @@ class LexiconAdapter:
 
 
 class EntropyAdapter:
-    """Character entropy and repetition, as a small language model would feel them."""
+    """Character entropy and repetition, as a small language model would feel them. ``rounded``: see LexiconAdapter."""
+
+    def __init__(self, rounded: Callable[[Column, int], Column] = udfs.py_round):
+        self.rounded = rounded
 
     def profile(self, text: Column) -> dict[str, Column]:
         n, entropy = F.length(text), udfs.char_entropy(text)
@@ -68,7 +73,7 @@ class EntropyAdapter:
         return {
             "char_entropy": entropy,
             "estimated_tokens": F.greatest(F.lit(1), (n * F.lit(0.85)).cast("int")),
-            "repetition_ratio": udfs.py_round(1 - different / F.greatest(n, F.lit(1)), 3),
+            "repetition_ratio": self.rounded(1 - different / F.greatest(n, F.lit(1)), 3),
             "feasible": (n > 0) & (entropy > 1.5),
         }
 

@@ -76,7 +76,7 @@ def fullwidth(spark, sf_dir):
 
 def dialog_quotes(spark, sf_dir):
     quoted = F.concat(F.lit("“"), F.regexp_replace("text", "[\"'\n\r]", " "), F.lit("” rest"))
-    return documents(spark, sf_dir).select("doc_id", F.md5(native.dialog_quotes(quoted)).alias("text_md5"))
+    return documents(spark, sf_dir).select("doc_id", quoted.alias("text")).select("doc_id", F.md5(native.dialog_quotes(F.col("text"))).alias("text_md5"))
 
 
 def boilerplate_lines(spark, sf_dir):
@@ -140,7 +140,7 @@ def file_names(spark, sf_dir):
 
 def lexicon(spark, sf_dir) -> profile.LexiconAdapter:
     words = table(spark, sf_dir, "benchmark").select(F.regexp_replace(F.lower("text"), "[^a-m]", "").alias("word"))
-    return profile.LexiconAdapter(profile.known_chars(words), inside="a-z")
+    return profile.LexiconAdapter(profile.known_chars(words), inside="a-z", rounded=udfs.even_round)
 
 
 def profiled(spark, sf_dir) -> DataFrame:
@@ -164,12 +164,12 @@ def batch_summary(spark, sf_dir):
 
 def slm_profile(spark, sf_dir):
     items = documents(spark, sf_dir).select("doc_id", F.col("text").alias("clean_text"))
-    out = profile.profile_items(items, profile.EntropyAdapter())
+    out = profile.profile_items(items, profile.EntropyAdapter(udfs.even_round))
     return out.select("doc_id", "char_entropy", F.col("estimated_tokens").cast("long").alias("estimated_tokens"), "repetition_ratio", "difficulty", "feasible")
 
 
 def slm_counts(spark, sf_dir):
-    out = profile.profile_items(documents(spark, sf_dir).select("doc_id", F.col("text").alias("clean_text")), profile.EntropyAdapter())
+    out = profile.profile_items(documents(spark, sf_dir).select("doc_id", F.col("text").alias("clean_text")), profile.EntropyAdapter(udfs.even_round))
     return out.select("doc_id", F.col("estimated_tokens").cast("long").alias("estimated_tokens"), F.round(F.col("repetition_ratio") * 1000).cast("long").alias("repetition_permille"))
 
 
