@@ -1,14 +1,15 @@
 """Parallel-text cards: English, Chinese and Italian blocks with their citations."""
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import native
-from ..functions.udfs import texts_struct
+from ..functions.udfs import mapped, texts_struct
 from .clean import clean, normalize
 
 BLANK_LINES = re.compile(r"\n\s*\n")
@@ -44,15 +45,19 @@ def read_card(text: str | None) -> dict[str, str]:
     return found
 
 
-@pandas_udf(texts_struct(*(f"{p}{k}" for k in LANGUAGES for p in ("", "cite_"))))
-def _cards(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_card(t) for t in texts])
+FIELDS = [f"{p}{k}" for k in LANGUAGES for p in ("", "cite_")]
+
+
+@arrow_udf(texts_struct(*FIELDS))
+def _cards(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return mapped(texts, read_card, pa.struct([(f, pa.string()) for f in FIELDS]))
 
 
 def align_cards(files: DataFrame) -> DataFrame:
     """A pair for each card (``file_name``, ``text``) with an English and a Chinese block: see PAIR_SCHEMA. Italian is
     empty where it lacks. English and Italian are cleaned, Chinese is normalised."""
-    cards = files.select("file_name", _cards(F.col("text")).alias("c")).select("file_name", "c.*").where("en <> '' and zh <> ''")
+    # generated, since a condition on a Python function's columns would call it twice
+    cards = files.select("file_name", F.inline(F.array(_cards(F.col("text"))))).where("en <> '' and zh <> ''")
     for c in ("en", "it"):
         cards = clean(cards, text_col=c).drop("html_tags", "urls_and_emails", "punct_compressed")
     cards = normalize(cards, text_col="zh").drop("invisible_chars")
