@@ -159,23 +159,20 @@ def once(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
-def _parts(c: Column, digits: int) -> tuple[Column, Column, Column]:
-    """Whole part, digits after the point, and what is left of them in units of 2**-60, all exact for values from 0 on with at
-    most 15 digits. The fraction times 2**60 is a whole number unless it's below 2**-7, where no half is one."""
-    whole = F.floor(c)
-    bits = ((c - whole) * float(1 << 60)).cast("long")
-    low, ten = F.lit((1 << 30) - 1), F.lit(10**digits)
-    down = bits.bitwiseAND(low) * ten
-    up = F.shiftright(bits, 30) * ten + F.shiftright(down, 30)
-    return whole, F.shiftright(up, 30), F.shiftleft(up.bitwiseAND(low), 30) + down.bitwiseAND(low)
-
-
 def _binary_even(c: Column, digits: int) -> Column:
-    whole, kept, rest = _parts(F.abs(c), digits)
-    half = F.lit(1 << 59)
-    units = whole * F.lit(10**digits) + kept
-    up = (rest > half) | ((rest == half) & (units % 2 == 1))
-    return F.when(F.isnan(c) | (F.abs(c) >= float(10**15) / 10**digits), c).otherwise(F.signum(c) * (units + up.cast("long")) / float(10**digits))
+    """The fraction becomes a whole number of 2**-60, of 2**-66 below 2**-6 and of 2**-72 below 2**-12, which is exact wherever
+    a half of up to four digits lies; its product with 10**digits is kept in two parts."""
+    whole, ten = F.floor(F.abs(c)), F.lit(10**digits)
+    fraction = F.abs(c) - whole
+    by_size = lambda x: F.when(fraction < 2.0**-12, x(12)).when(fraction < 2.0**-6, x(6)).otherwise(x(0))
+    bits = (fraction * by_size(lambda e: F.lit(2.0 ** (60 + e)))).cast("long")
+    unit = by_size(lambda e: F.lit(1 << (30 + e)).cast("long"))
+    down = bits.bitwiseAND(F.lit((1 << 30) - 1)) * ten
+    up = F.shiftright(bits, 30) * ten + F.shiftright(down, 30)
+    rest, more = up % unit * 2, down.bitwiseAND(F.lit((1 << 30) - 1)) > 0
+    units = whole * ten + ((up - up % unit) / unit).cast("long")
+    above = (rest > unit) | ((rest == unit) & (more | (units % 2 == 1)))
+    return F.when(F.isnan(c) | (F.abs(c) >= float(10**15) / 10**digits), c).otherwise(F.signum(c) * (units + above.cast("long")) / float(10**digits))
 
 
 def py_round(c: Column, digits: int) -> Column:
