@@ -2,15 +2,22 @@
 
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
-def trim() -> None:
-    """Gives back what earlier tasks of this worker freed: workers are used again and again, and allocators
-    keep pages otherwise."""
+#: What a worker keeps from one task for the next of its kind, and how it lets go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def trim(keep: str = "") -> None:
+    """Gives back what earlier tasks of this worker freed, and what they kept for tasks of another kind than ``keep``:
+    workers are used again and again, and allocators keep pages otherwise."""
+    for kind, let_go in KEPT.items():
+        if kind != keep:
+            let_go()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -19,10 +26,10 @@ def trim() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about ``most`` bytes of ``column`` (one row at least), so that
-    what a worker holds does not follow the number of rows in Spark's batches."""
-    trim()
+    what a worker holds does not follow the number of rows in Spark's batches. ``keep``: see ``trim``."""
+    trim(keep)
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
         if not len(values):

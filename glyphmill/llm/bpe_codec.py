@@ -54,7 +54,7 @@ def round_trip(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep="vocabulary"):
             encoded = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

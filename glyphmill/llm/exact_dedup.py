@@ -65,7 +65,7 @@ def directory(hashes: DataFrame, capacity: int, greatest_depth: int = GREATEST_D
     prefix = lambda d: F.shiftright(F.col("h"), 64 - d)
     leaves, open_at = [], None
     while True:
-        part = hashes if open_at is None else hashes.join(F.broadcast(hashes.sparkSession.createDataFrame([(p,) for p in open_at], "p long")), prefix(depth - 1) == F.col("p"), "left_semi")
+        part = hashes if open_at is None else hashes.join(F.broadcast(hashes.sparkSession.createDataFrame(pa.table({"p": pa.array(open_at, pa.int64())}))), prefix(depth - 1) == F.col("p"), "left_semi")
         counted = part.groupBy(prefix(depth).alias("p")).agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).collect()
         full = {r.p for r in counted if r.n > capacity and r.low != r.high} if depth < greatest_depth else set()
         leaves += [(r.p, depth) for r in counted if r.p not in full]
@@ -83,7 +83,7 @@ def owned(index: DataFrame, hashes: DataFrame, capacity: int) -> DataFrame:
     """The entries dealt to owner tasks by bucket and sorted by hash within them. ``hashes``: their hashes alone."""
     depth, slots = directory(hashes, capacity)
     spark = index.sparkSession
-    table = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
+    table = spark.createDataFrame(pa.table({"slot": pa.array(range(len(slots)), pa.int64()), "bucket": pa.array(slots, pa.int32())}))
     slot = F.shiftright("h", 64 - depth) + F.lit(1 << (depth - 1))
     dealt = index.join(F.broadcast(table), slot == F.col("slot")).drop("slot")
     return dealt.repartition(partitions_for(index, OWNED_BYTES, 2), "bucket").sortWithinPartitions("bucket", "h").drop("bucket")

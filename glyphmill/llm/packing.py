@@ -151,7 +151,7 @@ def pack(df: DataFrame, vocabulary: str, *, length: int = LENGTH, end_id: int =
             return out
 
         key_type = None
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 2 << 20, "vocabulary"):
             key_type = batch.column(0).type
             keys += batch.column(0).to_pylist()
             new = [x + end for x in bpe.encode_many(batch.column(1).to_pylist())]

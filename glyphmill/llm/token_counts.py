@@ -30,7 +30,7 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int = 2048, *, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = count_transducer(vocabulary)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep="vocabulary"):
             counts = [counter.count(t, chunk_chars) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 

@@ -145,7 +145,7 @@ def write_matrices(df: DataFrame, vocabulary: str, folder: str | None = None, *,
                 ["id", "start", "length", "doc_tokens", "file", "row", "offset"],
             )
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 2 << 20, "vocabulary"):
             kind = batch.column(0).type
             keys += batch.column(0).to_pylist()
             new = [x + end for x in bpe.encode_many(batch.column(1).to_pylist())]

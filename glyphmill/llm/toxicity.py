@@ -44,6 +44,7 @@ FEATURES = 2 + len(PASSAGES)
 BEGIN = 0  # stands before a text's first word
 KNOWN_WORDS = 100_000
 LONG = 1 << 20
+HEADER = 1 << 10  # bytes that hold the header of any .npy of the model
 
 
 def words(text: str | None) -> Iterable[str]:
@@ -100,12 +101,16 @@ class Model:
     """
 
     PARTS = ("words", "cont", "total", "kept", "both", "pairs", "count", "sums", "discounts", "weights")
+    PADDED = ("cont", "total", "kept", "both", "count")
 
     def __init__(self, **parts: np.ndarray):
-        self.parts = parts
-        self.words, self.pairs, self.weights = parts["words"], parts["pairs"], parts["weights"]
         last = lambda x: np.concatenate([x, np.zeros((*x.shape[:-1], 1), dtype=x.dtype)], axis=-1)
-        self.cont, self.total, self.kept, self.both, self.count = (last(parts[p]) for p in ("cont", "total", "kept", "both", "count"))
+        self.take({p: last(x) if p in self.PADDED else x for p, x in parts.items()})
+
+    def take(self, parts: dict[str, np.ndarray]) -> None:
+        """Takes the parts as they are; tables have their last row."""
+        self.words, self.pairs, self.weights = parts["words"], parts["pairs"], parts["weights"]
+        self.cont, self.total, self.kept, self.both, self.count = (parts[p] for p in self.PADDED)
         # sums: for each class and for both together, all continuations and the words that have any
         self.sums, self.discounts = parts["sums"], parts["discounts"]
         n, types = self.sums[2]
@@ -156,14 +161,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
     def dumps(self) -> bytes:
+        """The parts one after another, each as a .npy of its own, which begins at a multiple of 64 bytes."""
         out = io.BytesIO()
-        np.savez(out, **(self.parts | {"weights": self.weights}))
+        for p in self.PARTS:
+            np.save(out, np.ascontiguousarray(getattr(self, p)), allow_pickle=False)
+            out.write(bytes(-out.tell() % 64))
         return out.getvalue()
 
     @classmethod
     def loads(cls, data: bytes) -> "Model":
-        x = np.load(io.BytesIO(data))
-        return cls(**{p: x[p] for p in cls.PARTS})
+        """The model over ``data`` itself: its tables are read there, so a worker holds them once."""
+        model, parts, at = cls.__new__(cls), {}, 0
+        for p in cls.PARTS:
+            head = io.BytesIO(data[at : at + HEADER])
+            np.lib.format.read_magic(head)
+            shape, _, kind = np.lib.format.read_array_header_1_0(head)
+            at += head.tell()
+            parts[p] = np.frombuffer(data, kind, int(np.prod(shape)), at).reshape(shape)
+            at += -(-parts[p].nbytes // 64) * 64
+        model.take(parts)
+        return model
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -261,7 +278,8 @@ def train(documents: DataFrame, labels: DataFrame, *, most_per_class: int = MOST
     if not sample:
         return Model.empty()
     weight = np.array([sizes.get(c, 0) / max(1, sum(r.toxic == c for r in sample)) for c in (0, 1)])
-    chosen = F.broadcast(spark.createDataFrame([(r.id, r.toxic) for r in sample], "id long, toxic int"))
+    # from Arrow: rows of Python objects would pass a second set of Python workers, which then stays beside that of the Arrow functions
+    chosen = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array([r.id for r in sample], pa.int64()), "toxic": pa.array([r.toxic for r in sample], pa.int32())})))
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("text", "toxic")
     model = fit_counts(rows)
     x, y = compared(rows, model)

@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .batches import KEPT
+
 #: What the vocabulary's normaliser replaces by one blank. str.split() also cuts at 1C-1F, which it keeps.
 RUN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -535,3 +537,12 @@ class Composed:
 @lru_cache(maxsize=2)
 def count_transducer(path: str) -> CountTransducer:
     return CountTransducer(word_bpe(path))
+
+
+def let_go() -> None:
+    """Forgets all vocabularies, which tasks without one needn't hold."""
+    count_transducer.cache_clear()
+    word_bpe.cache_clear()
+
+
+KEPT["vocabulary"] = let_go

@@ -1,10 +1,13 @@
 """What bounds workers and passes of the cleaning steps."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import native, udfs
+from glyphmill.llm import batches, toxicity, wordbpe
+from glyphmill.llm.queries import vocabulary
 from glyphmill.operators import align
 
 
@@ -30,3 +33,29 @@ def test_quotes_at_their_edges(spark):
     cases = {"“a\nb” “c”": "“a\nb” 「c」", '"" "x\'yz\'"': '"「 」x『yz』"', "“‘a’” 'bc' ‘\n’": "「『a』」 『bc』 ‘\n’", "“𝒳é”": "「𝒳é」", "“a“b”": "“a「b」", "”x“": "”x“"}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.q for r in df.select("t", native.dialog_quotes(F.col("t")).alias("q")).collect()} == cases
+
+
+def test_model_is_read_where_it_lies():
+    n = np.array([[3.0], [1.0]], dtype=np.float32)  # one word, one pair
+    model = toxicity.Model(words=np.array([7]), cont=n, total=n, kept=n, both=n[0], pairs=np.array([9]), count=n, sums=np.ones((3, 2)), discounts=np.array([0.5, 0.4]), weights=np.arange(5.0))
+    data = model.dumps()
+    again, raw = toxicity.Model.loads(data), np.frombuffer(data, np.uint8)
+    assert all(np.array_equal(getattr(model, p), getattr(again, p)) and np.shares_memory(getattr(again, p), raw) for p in toxicity.Model.PARTS)
+    for own in (None, 0, 1):
+        assert np.array_equal(model.features(np.array([7, 8]), own), again.features(np.array([7, 8]), own))
+
+
+def test_other_tasks_let_go_of_vocabularies():
+    first = wordbpe.word_bpe(vocabulary())
+    batches.trim("vocabulary")
+    assert wordbpe.word_bpe(vocabulary()) is first
+    batches.trim()
+    assert wordbpe.word_bpe.cache_info().currsize == wordbpe.count_transducer.cache_info().currsize == 0
+
+
+def test_samples_pass_no_python_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "vile"), (2, "kind")], "doc_id long, text string").localCheckpoint()
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").localCheckpoint()
+    monkeypatch.setattr(type(spark), "_createFromLocal", lambda *a: pytest.fail("rows go through Python workers"), raising=False)
+    monkeypatch.setattr(type(spark), "_create_dataframe", lambda *a: pytest.fail("rows go through Python workers"))
+    assert len(toxicity.train(docs, labels).words) == 3  # two words and what begins a text
