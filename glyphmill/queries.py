@@ -6,7 +6,6 @@ full-width ones in both engines alike.
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,19 +270,17 @@ def cleaned_full(spark, sf_dir):
     return clean(documents(spark, sf_dir).select("doc_id", wide(F.col("text")).alias("text")))
 
 
-def plan(spark, sf_dir, storage=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = documents(spark, sf_dir).select("doc_id", wide(F.col("text")).alias("text"))
-    return corpus.run(docs, doc_key=F.col("doc_id"), order=["doc_id"], adapter=profile.LexiconAdapter("", inside="a-z"), storage=storage)
+def wide_documents(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", wide(F.col("text")).alias("text"))
 
 
 def pipeline_full(spark, sf_dir):
-    made, _, _ = plan(spark, sf_dir)
+    made, _, _ = corpus.run(wide_documents(spark, sf_dir), doc_key=F.col("doc_id"), order=["doc_id"], adapter=profile.LexiconAdapter("", inside="a-z"))
     return made.select("corpus_id", "clean_text", "category", "difficulty", "char_len", "oov_rate", "feasible", "note")
 
 
 def run_stats(spark, sf_dir):
-    made, sentences, cleaned = plan(spark, sf_dir, StorageLevel.DISK_ONLY)
-    return corpus.run_stats(cleaned, sentences, made)
+    return corpus.stats_alone(wide_documents(spark, sf_dir), doc_key=F.col("doc_id"), order=["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,10 +5,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmill import queries
 from glyphmill.functions import native, udfs
 from glyphmill.llm import batches, toxicity, wordbpe
 from glyphmill.llm.queries import vocabulary
 from glyphmill.operators import align
+from glyphmill.options import CleanOptions
+from glyphmill.plans import corpus
+from glyphmill.sources.tables import BATCH_BYTES
 
 
 def test_pieces_are_bounded_by_bytes():
@@ -59,3 +63,32 @@ def test_samples_pass_no_python_rows(spark, monkeypatch):
     monkeypatch.setattr(type(spark), "_createFromLocal", lambda *a: pytest.fail("rows go through Python workers"), raising=False)
     monkeypatch.setattr(type(spark), "_create_dataframe", lambda *a: pytest.fail("rows go through Python workers"))
     assert len(toxicity.train(docs, labels).words) == 3  # two words and what begins a text
+
+
+@pytest.mark.parametrize("options", [CleanOptions(), CleanOptions(dedup_scope="document", require_chinese=True), CleanOptions(deduplicate=False, max_sentence_len=9)])
+def test_stats_in_one_pass(spark, options):
+    text = "<p>這一句話會重複出現兩次喔。短。Latin only here。</p>這一句話會重複出現兩次喔！！！a@b.org\n版權所有 翻印必究"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, ""), (4, "這一句話會重複出現兩次喔。"), (None, "沒有編號的檔案也要計算。")], "doc_id long, text string")
+    for some in (docs, docs.limit(0)):
+        made, labelled, cleaned = corpus.run(some, options, doc_key=F.col("doc_id"), order=["doc_id"])
+        before, after = corpus.run_stats(cleaned, labelled, made), corpus.stats_alone(some, options, doc_key=F.col("doc_id"), order=["doc_id"])
+        assert (before.dtypes, before.collect()) == (after.dtypes, after.collect())
+    plan = corpus.stats_alone(docs, options, doc_key=F.col("doc_id"), order=["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_protected(") == 1 and "InMemoryTableScan" not in plan
+
+
+def test_run_stats_cleans_once(spark, tmp_path):
+    spark.createDataFrame([(1, "One sentence here. Another one there.", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = queries.run_stats(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("_protected(") == 1 and "InMemoryTableScan" not in plan
+
+
+def test_batches_of_every_query_are_bounded(spark, tmp_path):
+    spark.createDataFrame([(1, "One.", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for given, wanted in ((None, str(8 << 20)), ("12345", "12345")):
+        spark.conf.unset(BATCH_BYTES)
+        if given:
+            spark.conf.set(BATCH_BYTES, given)
+        queries.segment_quoted(spark, str(tmp_path))
+        assert spark.conf.get(BATCH_BYTES) == wanted
+    spark.conf.unset(BATCH_BYTES)
