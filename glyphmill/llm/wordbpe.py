@@ -66,6 +66,13 @@ class Memo(dict):
         if len(key) < 64:
             self[key] = value
 
+    def put_all(self, made: dict) -> None:
+        """All of ``made``, fewer than a generation."""
+        if len(self) + len(made) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update((key, value) for key, value in made.items() if len(key) < 64)
+
 
 def byte_letters() -> dict[str, int]:
     """Letter of the byte-level alphabet -> byte: printable Latin-1 stands for itself, the other
@@ -210,24 +217,21 @@ class WordBpe:
             self.finals[[i for i, x in self.symbols.items() if x[-1] >= FINAL]] = True
         known = self.piece_ids
         found = {p: known[p] for p in self.special}
-        missing = []
-        for p in set().union(*split):
-            if p in known:
-                found[p] = known[p]
-            elif p in known.old:
-                found[p] = known[p]
-            elif p not in found:
-                missing.append(p)
+        different = set().union(*split)
+        here = [p for p in different if p in known]
+        found.update(zip(here, map(known.get, here)))
+        different.difference_update(found)
+        found.update({p: known[p] for p in different if p in known.old})
+        missing = [p for p in different if p not in found]
         parts = [missing[k : k + 2000] for k in range(0, len(missing), 2000)]
         for part, encoding in zip(parts, self.tokenizer().encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(encoding.ids, dtype="<u4")
             ends = (np.flatnonzero(self.finals[ids]) + 1) * 4
             assert len(ends) == len(part)
-            data, begin = ids.tobytes(), 0
-            for p, end in zip(part, ends.tolist()):
-                found[p] = data[begin:end]
-                begin = end
-                known.put(p, found[p])
+            data, ends = ids.tobytes(), ends.tolist()
+            made = dict(zip(part, [data[begin:end] for begin, end in zip([0, *ends], ends)]))
+            found.update(made)
+            known.put_all(made)
         return [b"".join(map(found.__getitem__, pieces)) for pieces in split]
 
     def decode(self, ids: bytes) -> str:

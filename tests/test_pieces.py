@@ -92,3 +92,19 @@ def test_batches_of_every_query_are_bounded(spark, tmp_path):
         queries.segment_quoted(spark, str(tmp_path))
         assert spark.conf.get(BATCH_BYTES) == wanted
     spark.conf.unset(BATCH_BYTES)
+
+
+def test_known_pieces_are_kept_by_parts():
+    memo = wordbpe.Memo(lambda key: key.upper(), limit=5)
+    for k in range(0, 12, 3):
+        memo.put_all({f"p{k + i}": "x" for i in range(3)} | {"l" * 64: "long"})
+        assert len(memo) <= 5 and len(memo.old) <= 5 and "l" * 64 not in memo
+    assert "p11" in memo and memo["p6"] == "x" and memo["new"] == "NEW"
+
+
+def test_batches_encode_as_texts_do():
+    bpe = wordbpe.WordBpe(vocabulary())
+    texts = [" ".join(f"w{k}x{k * 7}é" for k in range(n, n + 3000)) + " <|endoftext|> " + "q" * 80 for n in (0, 1500, 0)] + ["", "plain words, plain words."]
+    bpe.piece_ids.limit = 4000  # generations turn within a batch
+    many = [x for part in (texts[:2], texts[2:]) for x in bpe.encode_many(part)]
+    assert many == [wordbpe.WordBpe(vocabulary()).encode(t) for t in texts]
