@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+from ..sources.tables import BATCH_BYTES, bounded_batches  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,14 +21,6 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Texts vary from a word to megabytes, so an Arrow batch is bounded by its bytes, whatever its rows. A session that
-    was given a bound keeps it; any other gets ``most``, smaller than Spark's default, for this subpackage's plans run
-    when the caller acts on them."""
-    if BATCH_BYTES not in spark.conf.getAll:
-        spark.conf.set(BATCH_BYTES, str(most))
-
-
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder; writers create it."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
