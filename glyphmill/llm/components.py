@@ -26,24 +26,27 @@ def with_least(edges: DataFrame, total: int) -> DataFrame:
     return dealt.join(targets, ["u", "piece"]).select("u", "v", "m")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` of ``edges`` (distinct, ``u`` greater than ``v``) has one ``v`` that is no ``u``, so all hang on their
+    component's least node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 and n > 1").limit(1).count()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (its component's least node) for every node of ``edges`` (columns ``u``, ``v`` of one
     orderable type) other than the roots themselves.
 
     A round hangs each node's larger neighbours, and then its smaller ones, on the least of them; the edges
-    end as stars around the roots after about log^2 rounds. Each round's edges are a table in the shared
-    folder. Loops and repeated edges don't matter; without edges there are no rows.
+    end as stars around the roots after about log^2 rounds, and edges that are stars take none. Each round's edges are a table
+    in the shared folder. Loops and repeated edges don't matter; without edges there are no rows.
     """
     stars = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    before, total = None, stars.count()
-    while total:
+    while not are_stars(stars):
+        total = stars.count()
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "stars")
         hung = with_least(large, large.count()).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         stars = written(hung.distinct(), "stars")
-        state = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first()
-        if state == before:
-            break
-        before, total = state, state[0]
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import BATCH_BYTES, bounded_batches  # noqa: F401
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+COLLECT_EVERY = 8
+writes = 0
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. A local master may lack one and then gets its own
@@ -28,10 +32,21 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: the plan ends here, so a lost
-    executor costs a re-read rather than a recomputation."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs a re-read rather than a recomputation. What the plan shuffled is removed with the end of the write; by
+    default it stays until the driver happens to collect its garbage, and the shuffles of many steps add up. The
+    driver's heap, which otherwise grows to its bound first, is collected every COLLECT_EVERY writes."""
+    global writes
+    spark = df.sparkSession
+    path, before = new_dir(spark, name), spark.conf.getAll.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    writes += 1
+    if writes % COLLECT_EVERY == 0:
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions_for(df: DataFrame, bytes_each: int, factor: float = 1.0) -> int:

@@ -341,7 +341,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         near = (F.col("n_u") * 100 >= F.col("n_v") * percent) & (F.col("n_v") * 100 >= F.col("n_u") * percent) & (F.col("u") != F.col("v"))
         both_sides = pairs.join(side("a", "u", "n_u", "s_u"), "a").join(side("b", "v", "n_v", "s_v"), "b").where(near)
         pairs = written(both_sides.select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(sketched, "u binary, v binary"), "shingle-likely")
-    whole = lambda key: sets.select(F.col("key").alias(key), F.col("set").alias(f"set_{key}"))
+    # only sets that a pair names are moved
+    named = written(pairs.select(F.explode(F.array("u", "v")).alias("key")).select(short_of(F.col("key")).alias("named")).distinct(), "shingle-named")
+    likely = maybe_in(sets.select("short", "key", "set"), "short", named).where("maybe")
+    whole = lambda key: likely.select(F.col("row.c1").alias(key), F.col("row.c2").alias(f"set_{key}"))
     return pairs.join(whole("u"), "u").join(whole("v"), "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u binary, v binary")
 
 
@@ -410,7 +413,7 @@ def link_components(df: DataFrame, *, width: int = 5, percent: int = 80, id_col:
     big = rows.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("short"))
     members = pairs.select(F.col("a").alias("short")).unionByName(pairs.select(F.col("b").alias("short"))).unionByName(big.select("short")).distinct()
     wanted = written(classes.join(members, "short").select("rep", "key", "short"), "shingle-wanted")
-    sets = written(sets_of(docs, wanted, width), "shingle-sets")
+    sets = sets_of(docs, wanted, width)
     links = written(verified(pairs, sets, percent), "shingle-links")
     roots = connected(links)
     if big.limit(1).count():
@@ -449,10 +452,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [shingler.set_of(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary()), batch.column(1), batch.column(2)], ["got", "set", "n", "sketch", "key", "short"])
 
+    at = lambda c: (F.coalesce(F.col(c), F.lit(0)).alias("at"), F.col(c).isNull().alias("none"))
     likely = maybe_in(docs.select("id", "text"), "id", wanted.select("rep")).select(F.col("row.c0").alias("id"), F.col("row.c1").alias("text"), "maybe")
-    read = likely.where(F.col("maybe") | F.col("id").isNull()).join(wanted, F.col("id").eqNullSafe(F.col("rep"))).select("text", "key", "short")
-    made = read.where("text is not null").mapInArrow(run, "got binary, set binary, n long, sketch binary, key binary, short long")
-    return made.where("got = key").select("key", "short", "n", "sketch", "set").dropDuplicates(["key"])
+    texts = likely.where((F.col("maybe") | F.col("id").isNull()) & F.col("text").isNotNull()).select(*at("id"), "text")
+    # repeated rows fall together where the join has put them, so sets needn't be moved for that
+    read = texts.join(wanted.select(*at("rep"), "key", "short"), ["at", "none"]).distinct().select("text", "key", "short")
+    made = read.mapInArrow(run, "got binary, set binary, n long, sketch binary, key binary, short long")
+    sets = written(made.where("got = key").select("key", "short", "n", "sketch", "set"), "shingle-sets")
+    # texts that differ under one id can still have one set
+    again = sets.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").limit(1).count()
+    return written(sets.dropDuplicates(["key"]), "shingle-sets") if again else sets
 
 
 def drop_near_copies(df: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,13 +2,16 @@
 
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 import pytest
 
+from glyphmill.llm import components
 from glyphmill.llm.components import connected
-from glyphmill.llm.shingle_join import Shingler, Signer, drop_near_copies, link_components, mix
+from glyphmill.llm.shared import written
+from glyphmill.llm.shingle_join import Shingler, Signer, drop_near_copies, key_of, link_components, mix, sets_of, short_of
 
 
 def shingles(text, width):
@@ -180,3 +183,34 @@ def test_session_keeps_its_own_batch_bound(spark):
     bounded_batches(spark)
     assert spark.conf.get(BATCH_BYTES) == "64m"
     spark.conf.unset(BATCH_BYTES)
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    def files():
+        kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in kept.split("\n") if re.search(r"/shuffle_[0-9_]+\.(data|index)$", f)}
+
+    before = files()
+    df = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    assert written(df, "test").count() == 7  # this count's own shuffle may stay
+    for _ in range(50):
+        if sum(f.endswith(".data") for f in files() - before) <= 1:
+            break
+        time.sleep(0.1)
+    assert sum(f.endswith(".data") for f in files() - before) <= 1
+    assert "spark.sql.classic.shuffleDependency.fileCleanup.enabled" not in spark.conf.getAll
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    monkeypatch.setattr(components, "with_least", None)
+    found = connected(spark.createDataFrame([(5, 1), (1, 4), (9, 2), (2, 2), (5, 1)], "u long, v long"))
+    assert sorted(map(tuple, found.collect())) == [(4, 1), (5, 1), (9, 2)]
+    assert connected(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_each_set_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "A  B c D"), (1, "x y z"), (None, "n o p"), (None, "n o p"), (2, None)], "id long, text string")
+    keys = [(rep, key_of(Shingler(3).set_of(text))) for rep, text in ((1, "a b c d"), (1, "x y z"), (None, "n o p"))]
+    wanted = spark.createDataFrame(keys, "rep long, key binary").withColumn("short", short_of(F.col("key")))
+    found = sets_of(docs, wanted, 3)
+    assert sorted((bytes(r.key), r.n) for r in found.collect()) == sorted((k, n) for (_, k), n in zip(keys, (2, 1, 1)))
