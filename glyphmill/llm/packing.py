@@ -58,22 +58,18 @@ def cut_windows(positions: np.ndarray, penalties: np.ndarray, length: int) -> li
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and penalties of the possible cuts of a stream."""
-    sentences = np.flatnonzero(sentence_end[ids]) + 1
-    positions = np.union1d(np.concatenate([[0], sentences]), doc_ends)
+    kind = np.zeros(len(ids) + 1, dtype=np.uint8)  # of the place after each token: none, sentence end, document end, inner
+    kind[1:] = sentence_end[ids]
+    kind[doc_ends] = kind[0] = 2
+    positions = np.flatnonzero(kind)
     gaps = np.diff(positions)
     if len(gaps) and gaps.max() > length:
-        inner = [np.arange(positions[k], positions[k + 1], length)[1:] for k in np.flatnonzero(gaps > length)]
-        wide = np.concatenate(inner)
         # both a whole number of windows after the last boundary and before the next one can help
-        back = np.concatenate([np.arange(positions[k + 1], positions[k], -length)[1:] for k in np.flatnonzero(gaps > length)])
-        inner_at = np.union1d(wide, back)
-        positions = np.union1d(positions, inner_at)
-    else:
-        inner_at = np.empty(0, dtype=np.int64)
-    penalties = np.full(len(positions), SENTENCE_PENALTY)
-    penalties[np.isin(positions, inner_at)] = INNER_PENALTY
-    penalties[np.isin(positions, doc_ends)] = 0.0
-    penalties[0] = 0.0
+        for k in np.flatnonzero(gaps > length):
+            kind[np.arange(positions[k], positions[k + 1], length)[1:]] = 3
+            kind[np.arange(positions[k + 1], positions[k], -length)[1:]] = 3
+        positions = np.flatnonzero(kind)
+    penalties = np.array([0.0, SENTENCE_PENALTY, 0.0, INNER_PENALTY])[kind[positions]]
     return positions, penalties
 
 

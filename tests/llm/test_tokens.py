@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from glyphmill.llm import packing, wordbpe
 from glyphmill.llm.bpe_codec import decode, encode, round_trip
 from glyphmill.llm.packing import cut_windows, pack, tail_windows
 from glyphmill.llm.queries import vocabulary
@@ -166,3 +167,27 @@ def test_pack_keeps_every_token_once(spark, library, length):
     assert padding < 0.25 * sum(map(len, want.values())) + length
     assert pack(rows(spark).limit(0), vocabulary()).count() == 0
     assert pack(rows(spark), vocabulary()).count() >= rows(spark).count()
+
+
+def test_candidates_without_sorting(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids, marks = rng.integers(0, 50, 5000), np.arange(50) == 7
+    ids[1000:1400] = 3
+    ends = np.array([1, 900, 1500, 1501, 5000])
+    cuts = {0} | set(ends.tolist()) | set((np.flatnonzero(ids == 7) + 1).tolist())
+    inner = set()
+    for a, b in zip(sorted(cuts), sorted(cuts)[1:]):
+        if b - a > 64:
+            inner |= {*range(a + 64, b, 64), *range(b - 64, a, -64)}
+    for name in ("union1d", "isin", "unique"):
+        monkeypatch.setattr(packing.np, name, None)
+    positions, penalties = packing.candidates(ids, ends, marks, 64)
+    assert inner and positions.tolist() == sorted(cuts | inner)
+    assert penalties.tolist() == [64.0 if p in inner else 0.0 if p in {0, *ends.tolist()} else 8.0 for p in positions.tolist()]
+
+
+def test_contractions_and_long_lists(library, monkeypatch):
+    bpe = wordbpe.WordBpe(vocabulary())
+    monkeypatch.setattr(wordbpe, "AT_ONCE", 5)
+    texts = ["it's 'tis ''s 'x 'reed we've'll i'm'd", "'S don'T.'t 3's ²'m", "'", "", "a", "!'s", "é're ß've"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
