@@ -147,7 +147,7 @@ def pack(df: DataFrame, vocabulary: str, *, length: int = LENGTH, end_id: int =
             return out
 
         key_type = None
-        for batch in slices(batches, "text", 2 << 20, "vocabulary"):
+        for batch in slices(batches, "text", 1 << 20, "vocabulary"):
             key_type = batch.column(0).type
             keys += batch.column(0).to_pylist()
             new = [x + end for x in bpe.encode_many(batch.column(1).to_pylist())]
@@ -158,7 +158,6 @@ def pack(df: DataFrame, vocabulary: str, *, length: int = LENGTH, end_id: int =
                 keys, held, size = [], [], 0
         if held:
             yield flush()
-        bpe.piece_ids.shrink()
 
     read = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).sortWithinPartitions("id", "text")
     kind = read.schema["id"].dataType.simpleString()

@@ -156,7 +156,6 @@ def write_matrices(df: DataFrame, vocabulary: str, folder: str | None = None, *,
                 keys, held, size = [], [], 0
         if held:
             yield flush()
-        bpe.piece_ids.shrink()
 
     read = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).sortWithinPartitions("id", "text")
     made = read.mapInArrow(run, f"id {read.schema['id'].dataType.simpleString()}, start long, length long, doc_tokens long, file string, row long, offset long").withColumnRenamed("id", id_col)

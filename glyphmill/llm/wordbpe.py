@@ -2,8 +2,9 @@
 exact id encoding with forced boundaries, token counting by a compiled transducer, and decoding.
 
 White space never reaches a token of such a vocabulary, so a text is the sequence of its white-space
-free *runs*, a run the sequence of its pre-tokens, and each pre-token encodes independently. Pre-tokens
-are memoised in two bounded generations.
+free *runs*, a run the sequence of its pre-tokens, and each pre-token encodes independently. Single texts
+memoise pre-tokens in two bounded generations; batches memoise runs, and those that are new are merged together as
+the rows of one matrix.
 """
 
 import heapq
@@ -12,7 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -28,6 +29,8 @@ PLAIN = re.compile("[\t-\r -~\x85\xa0-\xac\xae-\xff]*")
 #: The pre-tokeniser's pattern for lower-cased PLAIN text, its letters and numbers spelled out and the commonest first; of pieces
 #: that can begin alike, contractions still precede others.
 SPLIT = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:[stmd]|re|ve|ll)|[^\s0-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
+#: A full stop or comma that is only a part of a piece of marks.
+BESIDE = re.compile(r"[^\s0-9²³¹¼-¾a-zªµºß-öø-ÿ](?:[.,]|(?<=[.,])[^\s0-9²³¹¼-¾a-zªµºß-öø-ÿ])")
 #: Letters, and marks, that neither compose nor lower-case with their neighbours: three of one sort before a cut and one
 #: after it lie in one piece. Digits are pieces of their own.
 _LETTER = "A-Za-z\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
@@ -37,6 +40,18 @@ WARM = 48
 FINAL = 256
 GENERATION = 200_000
 AT_ONCE = 100_000
+#: Runs that a worker keeps from one batch to the next, and characters of the longest of them.
+KNOWN = 150_000
+LONG = 64
+#: Widths of the matrices whose rows are pieces, in bytes; longer pieces are merged one by one.
+WIDTHS = (4, 8, 12, 16, 24, 40)
+ROWS = 1 << 14
+#: Of the table of merges: bits of its slots' numbers, the factor that spreads keys over them, what no key or rank equals.
+SLOT_BITS = 18
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+NO_KEY = np.uint64((1 << 64) - 1)
+NO_RANK = np.int32((1 << 31) - 1)
+NO_ID = np.int32((1 << 20) - 1)
 
 
 def runs(text: str) -> list[str]:
@@ -111,17 +126,57 @@ class WordBpe:
             self.symbols[i] = (*codes[:-1], codes[-1] + FINAL * end)
         single = {s[0]: i for i, s in self.symbols.items() if len(s) == 1}
         self.single = [single[s] for s in range(2 * FINAL)]
-        self.merges = {}
-        for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            self.merges.setdefault((vocab[a] << 20) | vocab[b], (rank, vocab[a + b]))
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.pair_keys = np.array([(vocab[a] << 20) | vocab[b] for a, b in pairs], dtype=np.uint64)  # by rank
+        self.pair_ids = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         #: inside[x * 512 + y] is 1 if some token holds symbol y right after x; elsewhere a cut is certain.
         self.inside = bytearray((2 * FINAL) ** 2)
         for s in self.symbols.values():
             for x, y in zip(s, s[1:]):
                 self.inside[x * 2 * FINAL + y] = 1
-        self.library = self.finals = None
+        self.library = None
         self.letters = letters
         self.piece_ids = Memo(self.encode_piece)
+        self.known = {t: array("I", [i]).tobytes() for t, i in special.items()}
+
+    @cached_property
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """Of each pair of ids: the rank of its merge, and the merged id."""
+        ranked = zip(self.pair_keys.tolist(), enumerate(self.pair_ids.tolist()))
+        return dict(reversed(list(ranked)))  # of repeated pairs the first holds
+
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same as a hash table: key and rank of each slot; a key lies in the first slot from its own that was free."""
+        keys, first = np.unique(self.pair_keys, return_index=True)
+        bits = max(SLOT_BITS, len(keys).bit_length() + 2)
+        table, ranks = np.full(1 << bits, NO_KEY), np.full(1 << bits, NO_RANK)
+        slot = (keys * SPREAD) >> np.uint64(64 - bits)
+        while len(keys):
+            slot &= np.uint64(len(table) - 1)
+            taken, one = np.unique(slot, return_index=True)
+            one = one[table[taken] == NO_KEY]
+            table[slot[one]], ranks[slot[one]] = keys[one], first[one]
+            keys, first, slot = np.delete(keys, one), np.delete(first, one), np.delete(slot, one) + np.uint64(1)
+        return table, ranks
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, NO_RANK where there's no merge."""
+        table, ranks = self.slots
+        keys = ((left.astype(np.uint64) << np.uint64(20)) | right.astype(np.uint64)).ravel()
+        slot = (keys * SPREAD) >> np.uint64(65 - len(table).bit_length())
+        held = table[slot]
+        out = ranks[slot]
+        other = held != keys
+        out[other] = NO_RANK
+        rest = np.flatnonzero(other & (held != NO_KEY))
+        while len(rest):
+            slot[rest] = (slot[rest] + np.uint64(1)) & np.uint64(len(table) - 1)
+            held = table[slot[rest]]
+            hit = held == keys[rest]
+            out[rest[hit]] = ranks[slot[rest[hit]]]
+            rest = rest[~hit & (held != NO_KEY)]
+        return out.reshape(left.shape)
 
     # -- from text to byte pieces --------------------------------------------------------------
 
@@ -216,31 +271,86 @@ class WordBpe:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.piece_ids.__getitem__, self.pieces(text)))
 
+    def words(self, text: str) -> list[str]:
+        """What a text is looked up by: the runs of a PLAIN one, lower-cased and parted at full stops and commas that are pieces of
+        their own, the pieces of any other. A run that is a piece has its ids, so both can share a table."""
+        if not PLAIN.fullmatch(text) or "<|" in text:
+            return self.pieces(text)
+        text = text.lower()
+        return text.split() if BESIDE.search(text) else text.replace(".", " . ").replace(",", " , ").split()
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The same for a batch, where the library encodes the pre-tokens that aren't known yet: they're
-        joined by blanks, and each ends at its one token that carries the end-of-word suffix."""
-        split = [self.pieces(t) for t in texts]
-        if self.finals is None:
-            self.finals = np.zeros(1 + max(self.names), dtype=bool)
-            self.finals[[i for i, x in self.symbols.items() if x[-1] >= FINAL]] = True
-        known = self.piece_ids
-        found = {p: known[p] for p in self.special}
-        different = set().union(*split)
-        here = [p for p in different if p in known]
-        found.update(zip(here, map(known.get, here)))
-        different.difference_update(found)
-        found.update({p: known[p] for p in different if p in known.old})
-        missing = [p for p in different if p not in found]
-        parts = [missing[k : k + 2000] for k in range(0, len(missing), 2000)]
-        for part, encoding in zip(parts, self.tokenizer().encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(encoding.ids, dtype="<u4")
-            ends = (np.flatnonzero(self.finals[ids]) + 1) * 4
-            assert len(ends) == len(part)
-            data, ends = ids.tobytes(), ends.tolist()
-            made = dict(zip(part, [data[begin:end] for begin, end in zip([0, *ends], ends)]))
-            found.update(made)
-            known.put_all(made)
-        return [joined(found, pieces) for pieces in split]
+        """The same for a batch: words that aren't known yet are encoded together, and all are known until their texts are
+        put together. Then long ones are forgotten, and all but the batch's own if there are more than KNOWN."""
+        split = [self.words(t) for t in texts]
+        here = set().union(*split)
+        known = self.known
+        long = self.learn(here.difference(known))
+        out = [joined(known, words) for words in split]
+        for w in long:
+            del known[w]
+        if len(known) > KNOWN:
+            self.known = {w: known[w] for w in here.union(self.special) if w in known}
+        return out
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Puts words, and the pieces of compound ones, into the table; those of LONG characters or more are returned."""
+        known, pieces, compound = self.known, [], {}
+        for w in words:
+            if w.isalpha() or not PLAIN.fullmatch(w):
+                pieces.append(w)
+            elif len(parts := SPLIT.findall(w)) == 1:
+                pieces.append(w)
+            else:
+                compound[w] = parts
+        pieces += set().union(*compound.values()).difference(known, words)
+        for k in range(0, len(pieces), ROWS):
+            self.merge_all(pieces[k : k + ROWS])
+        known.update({w: b"".join(map(known.__getitem__, parts)) for w, parts in compound.items()})
+        return [w for group in (pieces, compound) for w in group if len(w) >= LONG]
+
+    def merge_all(self, pieces: list[str]) -> None:
+        """Puts pieces, which differ, into the table. Each round merges in every row the pair of least rank, the leftmost among
+        equals, so all rows lose one id; those without a pair to merge are done."""
+        data = [p.encode() for p in pieces]
+        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+        flat, begins = np.frombuffer(b"".join([*data, bytes(WIDTHS[-1])]), dtype=np.uint8), np.cumsum(sizes) - sizes
+        single, least, done = np.array(self.single, dtype=np.int32), 0, []
+        for width in WIDTHS:
+            at = np.flatnonzero((sizes > least) & (sizes <= width))
+            least = width
+            if not len(at):
+                continue
+            places = np.arange(width)
+            symbols = flat[begins[at, None] + places].astype(np.int16)
+            symbols[np.arange(len(at)), sizes[at] - 1] += FINAL
+            ids = np.where(places < sizes[at, None], single[symbols], NO_ID)
+            ranks = self.ranks(ids[:, :-1], ids[:, 1:])
+            while len(at):
+                pair = ranks.argmin(axis=1)
+                rank = ranks[np.arange(len(at)), pair]
+                going = rank != NO_RANK
+                if not going.all():
+                    done.append((at[~going], ids[~going]))
+                    at, ids, ranks, pair, rank = at[going], ids[going], ranks[going], pair[going], rank[going]
+                row, into = np.arange(len(at)), self.pair_ids[rank]
+                ids[row, pair] = into
+                wide = ids.shape[1] - 1
+                ids = ids[np.arange(wide + 1) != pair[:, None] + 1].reshape(-1, wide)
+                if wide < 2:
+                    done.append((at, ids))
+                    break
+                ranks = ranks[np.arange(wide) != pair[:, None]].reshape(-1, wide - 1)
+                for has, k in ((pair > 0, pair - 1), (pair < wide - 1, pair)):
+                    r, k = row[has], k[has]
+                    ranks[r, k] = self.ranks(ids[r, k], ids[r, k + 1])
+        known = self.known
+        known.update((pieces[k], self.encode_piece(pieces[k])) for k in np.flatnonzero(sizes > WIDTHS[-1]).tolist())
+        for at, ids in done:
+            within = ids != NO_ID
+            ends = (4 * np.cumsum(within.sum(axis=1))).tolist()
+            joint = ids[within].astype("<u4").tobytes()
+            known.update((pieces[k], joint[begin:end]) for k, begin, end in zip(at.tolist(), [0, *ends], ends))
 
     def decode(self, ids: bytes) -> str:
         """The library's decode() for a vocabulary without decoder: token strings joined by blanks."""

@@ -1,5 +1,7 @@
 """What bounds workers and passes of the cleaning steps."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -108,3 +110,32 @@ def test_batches_encode_as_texts_do():
     bpe.piece_ids.limit = 4000  # generations turn within a batch
     many = [x for part in (texts[:2], texts[2:]) for x in bpe.encode_many(part)]
     assert many == [wordbpe.WordBpe(vocabulary()).encode(t) for t in texts]
+
+
+def test_new_words_are_encoded_without_the_library(monkeypatch):
+    rng = random.Random(4)
+    syllables = ["an", "ble", "tion", "é", "ß", "x", "zu", "th", "q", "keit", "a", "ñ", "7"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    text = "".join(w + rng.choice([" ", ". ", ", ", ".", ",", "... ", ".) ", "'s ", " '.", "!,", "\n", "-", "\x85"]) for w in words)
+    texts = [text[:9000], text.title(), text[9000:].replace("... ", " "), "a,b.c 'tis., .,", "k" * 90 + "." + "m" * 90 + ",", ""]
+    want = [wordbpe.WordBpe(vocabulary()).tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(wordbpe, "KNOWN", 500)
+    monkeypatch.setattr(wordbpe, "ROWS", 300)
+    monkeypatch.setattr(wordbpe.WordBpe, "tokenizer", None)
+    bpe = wordbpe.WordBpe(vocabulary())
+    for _ in range(2):
+        for part in (texts[:1], texts[1:2], texts[2:]):
+            assert [memoryview(x).cast("I").tolist() for x in bpe.encode_many(part)] == want[: len(part)]
+            want = want[len(part) :] + want[: len(part)]
+            assert all(len(w) < wordbpe.LONG for w in bpe.known)
+    bpe.encode_many(["one more, " * 3])
+    assert len(bpe.known) <= 500 + 3
+
+
+def test_repeated_and_colliding_merges():
+    bpe = wordbpe.WordBpe(vocabulary())
+    bpe.pair_keys, bpe.pair_ids = bpe.pair_keys[:3000].repeat(2), np.arange(6000, dtype=np.int32)
+    keys = bpe.pair_keys[::2]
+    assert bpe.ranks(keys >> np.uint64(20), keys & np.uint64((1 << 20) - 1)).tolist() == [*range(0, 6000, 2)]
+    assert bpe.ranks(keys >> np.uint64(20), np.full(3000, wordbpe.NO_ID)).tolist() == [wordbpe.NO_RANK] * 3000
+    assert [bpe.merges[k] for k in keys.tolist()] == [(k, k) for k in range(0, 6000, 2)]
